@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, sharding, urlfilter
+from . import decontamination, langid, packing, quality, sharding, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,12 +27,29 @@ def op4_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_vocabulary(table(spark, sf_dir, "pages"))
 
 
+def op5_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    test = langid.held_out()
+    model = langid.train(docs, ~test)
+    out = langid.language_spans(docs, model, spans=False)
+    return out.select("doc_id", test.alias("held_out"), "lang_pred", "score")
+
+
+def op6_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classifier_chain(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.jump_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_length_buckets, op3_compression_bands, op4_url_vocabulary, op10_jump_hash]
+    found = [op2_length_buckets, op3_compression_bands, op4_url_vocabulary, op5_language_spans, op6_classifier_chain, op7_benchmark_decontamination, op10_jump_hash]
     return {f.__name__: f for f in found}
 
 

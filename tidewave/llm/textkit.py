@@ -126,11 +126,24 @@ class Words:
     first: np.ndarray  # first[i]:first[i + 1] are the words of text i
 
 
-def words(view: Bytes, lower: bool = True) -> Words:
+#: Bytes of plain tokens: ASCII letters and digits and all that is not ASCII.
+IS_TOKEN = np.zeros(256, bool)
+IS_TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(view: Bytes, lower: bool = True, within: np.ndarray | None = None) -> Words:
+    """Words of each text, or runs of the bytes in ``within``."""
     data = (_LOWER if lower else _SAME)[view.data]
-    inside = ~IS_SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[view.offsets] = True
+    starts, ends = runs(~IS_SPACE[data] if within is None else within[data], view.offsets)
+    first = np.searchsorted(starts, view.offsets)
+    rows = np.repeat(np.arange(len(view)), np.diff(first))
+    return Words(starts, ends, rows, Hashes(data).of(starts, ends), first)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of True that do not cross an offset."""
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[offsets] = True
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
@@ -138,10 +151,58 @@ def words(view: Bytes, lower: bool = True) -> Words:
     after = np.empty_like(inside)
     after[-1:] = False
     after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    first = np.searchsorted(starts, view.offsets)
-    rows = np.repeat(np.arange(len(view)), np.diff(first))
-    return Words(starts, ends, rows, Hashes(data).of(starts, ends), first)
+    return starts, np.flatnonzero(inside & (~after | edge[1:])) + 1
+
+
+class Letters:
+    """Tables over code points: letter or not, lower case, script. Built once by each worker."""
+
+    #: First and last code point of the scripts told apart.
+    SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F), ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("tamil", 0xB80, 0xBFF), ("telugu", 0xC00, 0xC7F), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("han", 0xF900, 0xFAFF))
+    NAMES = ("other", *dict.fromkeys(s[0] for s in SCRIPTS))
+    SIZE = 0x20000
+    _tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    @classmethod
+    def tables(cls) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if cls._tables is None:
+            points = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(cls.SIZE)]
+            lower = np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in points], np.uint32)
+            script = np.zeros(cls.SIZE, np.uint8)
+            for name, lo, hi in cls.SCRIPTS:
+                script[lo : hi + 1] = cls.NAMES.index(name)
+            cls._tables = np.array([c.isalpha() for c in points]), lower, script
+        return cls._tables
+
+
+@dataclass
+class LetterWords:
+    """Runs of letters, lower-cased: ``points`` are the texts' code points."""
+
+    points: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    rows: np.ndarray
+    n: int
+
+    def hashes(self) -> np.ndarray:
+        return Hashes(self.points).of(self.starts, self.ends)
+
+    def scripts(self) -> np.ndarray:
+        """The script of each word's first letter."""
+        return Letters.tables()[2][np.minimum(self.points[self.starts], Letters.SIZE - 1)]
+
+
+def letter_words(view: Bytes) -> LetterWords:
+    letter, lower, _ = Letters.tables()
+    points = np.frombuffer(view.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    heads = np.concatenate([[0], np.cumsum((view.data & 0xC0) != 0x80)])
+    offsets = heads[view.offsets]
+    known = np.minimum(points, Letters.SIZE - 1)
+    points = np.where(points < Letters.SIZE, lower[known], points)
+    starts, ends = runs(letter[known] | (points >= Letters.SIZE) & (points < 0x40000), offsets)
+    rows = np.searchsorted(offsets, starts, side="right") - 1
+    return LetterWords(points, starts, ends, rows, len(view))
 
 
 def per_row(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
