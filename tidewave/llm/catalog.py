@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, packing, quality, setsketch, sharding, toxicity, urlfilter
+from . import decontamination, kneser_ney, langid, packing, quality, setsketch, sharding, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,13 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    test = langid.held_out(parts=5)
+    out = kneser_ney.perplexity(docs, kneser_ney.train(docs, ~test))
+    return out.select("doc_id", test.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -53,7 +60,7 @@ def op10_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_length_buckets, op3_compression_bands, op4_url_vocabulary, op5_language_spans, op6_classifier_chain, op7_benchmark_decontamination, op9_setsketch, op10_jump_hash]
+    found = [op2_length_buckets, op3_compression_bands, op4_url_vocabulary, op5_language_spans, op6_classifier_chain, op7_benchmark_decontamination, op8_kneser_ney, op9_setsketch, op10_jump_hash]
     return {f.__name__: f for f in found}
 
 
