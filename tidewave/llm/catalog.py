@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, kneser_ney, langid, packing, quality, setsketch, sharding, toxicity, urlfilter
+from . import decontamination, kneser_ney, langid, packing, quality, setsketch, sharding, suffix_dedup, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"), spans=False)
+
+
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.length_buckets(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_length_buckets, op3_compression_bands, op4_url_vocabulary, op5_language_spans, op6_classifier_chain, op7_benchmark_decontamination, op8_kneser_ney, op9_setsketch, op10_jump_hash]
+    found = [op1_suffix_array_dedup, op2_length_buckets, op3_compression_bands, op4_url_vocabulary, op5_language_spans, op6_classifier_chain, op7_benchmark_decontamination, op8_kneser_ney, op9_setsketch, op10_jump_hash]
     return {f.__name__: f for f in found}
 
 

@@ -25,6 +25,10 @@ _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
 
 
+#: Values of the bytes in a second hash.
+OTHER_VALUES = np.random.default_rng(77003).integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+
+
 class _Powers:
     """Powers of the base and of its inverse, grown on demand and kept by the worker."""
 
@@ -100,13 +104,14 @@ def portions(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterato
 
 
 class Hashes:
-    """Hashes of any byte ranges by prefix sums of a polynomial modulo 2**64."""
+    """Hashes of any ranges by prefix sums of a polynomial modulo 2**64; ``values`` may give each byte a
+    value of its own, for a second hash that fails independently."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, values: np.ndarray | None = None):
         self.n = len(data)
         up, self.down = _Powers.get(self.n + 1)
         self.sums = np.zeros(self.n + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * up[: self.n], out=self.sums[1:])
+        np.cumsum((data.astype(U64) + U64(1) if values is None else values[data]) * up[: self.n], out=self.sums[1:])
 
     def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.sums[ends] - self.sums[starts]) * self.down[starts]
