@@ -183,7 +183,7 @@ SELECT k.record_id, c.channel, {r('coalesce(m.value, 0)', 'value')} FROM (SELECT
 SELECT label, n, {r('(SELECT count(*) FROM records) / ((SELECT count(*) FROM n) * n)', 'weight')}, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id FROM n""",
     "window_sample_weights": f"""WITH {LABELLED}, refs AS (SELECT record_id, label, windows, unnest(range(windows)) AS window_id FROM records WHERE windows > 0), c AS (SELECT label, count(DISTINCT record_id) AS k FROM refs GROUP BY label)
 SELECT record_id, CAST(window_id AS INTEGER) AS window_id, label, {r('1e0 / windows / k', 'weight', 9)} FROM refs JOIN c USING (label)""",
-    "record_folds": f"""WITH {LABELLED} SELECT record_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('2026:' || CAST(record_id AS VARCHAR)), record_id) - 1) % least(5, (SELECT min(n) FROM (SELECT count(*) AS n FROM records GROUP BY label))) AS BIGINT) AS fold FROM records""",
+    "record_folds": f"""WITH {LABELLED} SELECT record_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('2026:' || CAST(record_id AS VARCHAR)), record_id) - 1) % least(5, (SELECT min(n) FROM (SELECT count(*) AS n FROM records GROUP BY label))) AS INTEGER) AS fold FROM records""",
     "left_out_folds": "SELECT CAST(r_regionkey AS INTEGER) AS record_id, 'A' AS label, CAST(r_regionkey AS INTEGER) AS fold FROM region WHERE r_regionkey < 2",
     "weighted_drawing": """WITH items AS (SELECT s_suppkey, CAST(greatest(0, floor(s_acctbal)) AS DOUBLE) AS w, CAST(floor(('0x' || substr(md5('part:' || CAST(s_suppkey AS VARCHAR)), 1, 8))::BIGINT / 4294967296e0 * 64) AS INTEGER) AS part FROM supplier),
 sums AS (SELECT s_suppkey, sum(w) OVER (ORDER BY part, s_suppkey) AS hi, w, sum(w) OVER () AS total FROM items WHERE w > 0),
