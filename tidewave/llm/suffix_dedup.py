@@ -24,9 +24,13 @@ from .textkit import OTHER_VALUES, Bytes, Hashes, byte_view, portions
 
 LENGTH, GRAM = 200, 32
 #: Different segments of an anchor in a block, and bytes of a block (a whole anchor's share at least).
-HOT, BLOCK = 500, 1 << 20
+HOT, BLOCK = 500, 1 << 19
 #: Most rows that are broadcast to meet the texts; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: A window of a hot anchor, as blocks send it on: digests, owner, and whether it still lacks an equal.
+WINDOW = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("id", "<i8"), ("th", "<i8"), ("start", "<i8"), ("open", "u1")])
+#: Windows of hot anchors that meet in a group, about; least and most groups.
+MET, MIN_GROUPS, MAX_GROUPS = 500_000, 64, 65536
 U64 = np.uint64
 NO_ID = -(1 << 63)
 BETWEEN = 0xFF  # no byte of UTF-8
@@ -113,7 +117,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
         for whole in batches:
             ids = whole.column(0).to_numpy()
             done = 0
-            for batch in portions(whole, "text", 1 << 20):
+            for batch in portions(whole, "text", 1 << 19):
                 s = segments(byte_view(batch.column(1)), length, gram)
                 row = s["row"]
                 yield pa.RecordBatch.from_arrays(
@@ -133,7 +137,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
 
     # different segments with one anchor: their bytes, in blocks
     wanted = contents.where("differ").select("anchor", "c1", "one.*")
-    hot = wanted.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.ceil(F.col("count") / HOT).cast("long").alias("parts"))
+    hot = written(wanted.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", "count", F.ceil(F.col("count") / HOT).cast("long").alias("parts")), "hot")
+    hot_windows = (hot.agg(F.sum("count")).first()[0] or 0) * (length - gram + 1) // 2
+    groups = int(np.clip(hot_windows // MET, MIN_GROUPS, MAX_GROUPS))
+    hot = hot.drop("count")
     wanted = wanted.join(hot, "anchor", "left").select("anchor", F.when(F.col("parts").isNotNull(), F.pmod("c1", "parts")).otherwise(F.lit(-1)).alias("part"), "id", "th", "start", "n")
     by_text = written(wanted.groupBy("id").agg(F.collect_list(F.struct("th", "start", "n", "anchor", "part")).alias("pieces")), "wanted")
     few = contents.where("differ").count() <= BROADCAST_ROWS
@@ -141,7 +148,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "part", "id", "th", "start", "body"]
         for whole in batches:
-            for batch in portions(whole, "text", 1 << 20):
+            for batch in portions(whole, "text", 1 << 19):
                 view = byte_view(batch.column(1))
                 th = text_hashes(view, Hashes(view.data)).view(np.int64)
                 lists, ids = batch.column(2), batch.column(0).to_numpy()
@@ -198,22 +205,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
         s, p = segment[again][order], place[again][order]
         new = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (p[1:] != p[:-1] + 1)]) if len(s) else np.zeros(0, int)
         last = np.r_[new[1:] - 1, len(s) - 1][: len(new)]
-        cols = [np.zeros(len(new), np.int32), ids[s[new]], th[s[new]], start[s[new]] + p[new], start[s[new]] + p[last] + length, np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)]
-        # windows of hot anchors, for the other blocks: one of each, kind 1 if still without an equal
-        open_ = np.flatnonzero(head & (part[segment] >= 0)) if len(segment) else np.zeros(0, int)
-        if len(open_):
-            at = heads[segment[open_]] + place[open_]
-            s, p = segment[open_], place[open_]
-            more = [np.where(again[open_], 2, 1).astype(np.int32), ids[s], th[s], start[s] + p, start[s] + p + length, Hashes(text).of(at, at + length).view(np.int64), Hashes(text, OTHER_VALUES).of(at, at + length).view(np.int64)]
-            cols = [np.concatenate(x) for x in zip(cols, more, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "id", "th", "start", "stop", "d1", "d2"])
+        out = [(0, i, t, x, y, None, None) for i, t, x, y in zip(ids[s[new]].tolist(), th[s[new]].tolist(), (start[s[new]] + p[new]).tolist(), (start[s[new]] + p[last] + length).tolist(), strict=True)]
+        # one window of each kind of a hot anchor, for the other blocks
+        some = np.flatnonzero(head & (part[segment] >= 0)) if len(segment) else np.zeros(0, int)
+        if len(some):
+            s, p = segment[some], place[some]
+            at = heads[s] + p
+            sent = np.empty(len(some), WINDOW)
+            for name, values in (("d1", Hashes(text).of(at, at + length)), ("d2", Hashes(text, OTHER_VALUES).of(at, at + length)), ("id", ids[s]), ("th", th[s]), ("start", start[s] + p), ("open", ~again[some])):
+                sent[name] = values
+            group = (sent["d2"] % U64(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            cuts = np.searchsorted(group[order], np.arange(groups + 1))
+            out += [(1, None, None, None, None, int(g), sent[order[cuts[g] : cuts[g + 1]]].tobytes()) for g in np.flatnonzero(np.diff(cuts))]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), *[pa.int64()] * 5, pa.binary()))], names=["kind", "id", "th", "start", "stop", "meet", "sent"])
+
+    def met(rows: pa.Table) -> pa.Table:
+        """Windows without an equal in their own block that have one in another."""
+        w = np.frombuffer(b"".join(rows.column("sent").to_pylist()), WINDOW)
+        order = np.lexsort((w["d2"], w["d1"]))
+        w = w[order]
+        same = (w["d1"][1:] == w["d1"][:-1]) & (w["d2"][1:] == w["d2"][:-1])
+        found = w[(np.r_[False, same] | np.r_[same, False]) & (w["open"] > 0)]
+        return pa.table({"id": found["id"], "th": found["th"], "start": found["start"], "stop": found["start"] + length})
 
     dealt = bodies.withColumn("deal", F.xxhash64("anchor", "part")).repartition("deal").sortWithinPartitions("deal", "anchor", "part").drop("deal")
-    sorted_ = written(dealt.mapInArrow(sorted_blocks, "kind int, id long, th long, start long, stop long, d1 long, d2 long"), "sorted")
+    sorted_ = written(dealt.mapInArrow(sorted_blocks, "kind int, id long, th long, start long, stop long, meet long, sent binary"), "sorted")
     spans = spans.unionAll(sorted_.where("kind = 0").select("id", "th", "start", "stop"))
-    digests = sorted_.where("kind > 0")
-    twice = digests.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
-    spans = spans.unionAll(digests.where("kind = 1").join(twice, ["d1", "d2"]).select("id", "th", "start", "stop"))
+    spans = spans.unionAll(sorted_.where("kind = 1").select("meet", "sent").groupBy("meet").applyInArrow(met, "id long, th long, start long, stop long"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
