@@ -15,7 +15,7 @@ from tidewave.llm.shared import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters or without a language that holds at least half of them clearly."""
+    """Drops texts without letters and those whose language is all but a guess."""
     return langid.keep_known(docs, langid.train(docs))
 
 

@@ -200,7 +200,7 @@ def held_out(key: str = "doc_id", parts: int = 3) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts)) == 1, F.lit(False))
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, least: float = 0.2, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
