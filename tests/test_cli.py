@@ -22,6 +22,17 @@ def recordings(spark):
     return spark.createDataFrame(left, "record_id string, seq long, t double, channel string, value double"), spark.createDataFrame(right, "record_id string, seq long, t double, activity double, detected boolean")
 
 
+def test_sequences_of_recorded_tables(spark):
+    rows = [("a", i, 5.0 + i * 0.5, float(i % 3), None) for i in range(6)] + [("b", 0, 1.0, 2.0, None)]
+    wide = spark.createDataFrame(rows, "batch string, line long, `time (s)` double, snr double, empty double")
+    long, activity, meta = pipeline.sequences(wide, "batch", "line")
+    assert {r.channel for r in long.select("channel").distinct().collect()} == {"time_s", "snr"}
+    found = {r.record_id: r for r in meta.collect()}
+    assert (found["a"].rate_hz, found["a"].time_source, found["a"].duration, found["a"].valid_ratio) == (2.0, "time (s)", 3.0, 1.0)
+    assert (found["b"].rate_hz, found["b"].time_source) == (1.0, "row_index")
+    assert activity.where("record_id = 'a'").count() == 6
+
+
 def test_windows_of_a_pair(recordings):
     chosen = settings.load(profile="quick") | {"channels": 2, "steps": 8, "max_alignment_lag_seconds": 5.0}
     windows, series = pipeline.preprocessed(*recordings, 2.0, chosen)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vectors as V
+from ..operators import columns as C
 from ..operators import inspect as INS
 from ..operators import metrics as M
 from ..operators import normalize as N
@@ -144,6 +145,16 @@ def column_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(N.column_profile(N.melted(li, ["l_orderkey"], used)))
 
 
+@query
+def numeric_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timestamps, complex numbers, text with and without numbers, and clashing names as numbers."""
+    e = table(spark, sf_dir, "events")
+    z = F.struct(F.col("value").alias("re"), (F.col("value") * 0.75).alias("im"))
+    mixed = F.when(F.col("event_id") % 3 == 0, F.col("value").cast("string")).otherwise("n/a")
+    rows = e.select("event_id", "ts", z.alias("z"), mixed.alias("z abs"), "event_type", F.lit(None).cast("double").alias("nothing"), (F.col("user_id") % 2 == 0).alias("even"))
+    return rounded(C.numeric_frame(rows, ["event_id"]))
+
+
 @query
 def winsor_scaled_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")

@@ -127,6 +127,8 @@ SELECT vec_id, CAST(c AS INTEGER) AS "column", name, CAST(rw AS INTEGER) AS "row
     "vector_summaries": f"WITH {SUMMARY_OF} SELECT vec_id, {r('list_avg(a)', 'mean')}, {r('list_stddev_pop(a)', 'std')}, {r('list_max(a)', 'max')}, {r('list_avg(list_transform(a, lambda x: x * x))', 'energy')} FROM aggregates",
     "vector_columns": "SELECT vec_id, " + ", ".join(r(f"abs(CAST(embedding[{i}] AS DOUBLE))", f"v_{i}") for i in range(1, 9)) + " FROM embeddings",
     "column_profiles": " UNION ALL ".join(f"SELECT '{c}' AS channel, count(*) AS n_rows, count({x}) AS n_finite, {r(f'count({x}) / count(*)', 'valid_ratio')} FROM lineitem" for c, x in (("l_quantity", "l_quantity"), ("l_extendedprice", "l_extendedprice"), ("l_gap", "CASE WHEN l_linenumber > 2 THEN l_tax END"))),
+    "numeric_frames": f"""SELECT event_id, {r('epoch_us(ts) / 1e6', 'ts')}, {r('sqrt(value * value + (value * 0.75) * (value * 0.75))', 'z_abs')}, {r('value', 'z_real')}, {r('value * 0.75', 'z_imag')},
+  {r('CASE WHEN event_id % 3 = 0 THEN value END', 'z_abs_1')}, {r('CASE WHEN user_id % 2 = 0 THEN 1e0 ELSE 0e0 END', 'even')} FROM events""",
     "winsor_scaled_prices": """WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.995) AS hi FROM lineitem GROUP BY 1)
 SELECT l_orderkey, l_linenumber, CAST(CASE WHEN hi > lo THEN floor((least(hi, greatest(lo, l_extendedprice)) - lo) / (hi - lo) * 255) ELSE 0 END AS BIGINT) AS scaled FROM lineitem JOIN q USING (l_returnflag)""",
     "feature_matrix": f"""{BASE}, j AS (SELECT record_id, window_id, channel, value FROM samples JOIN windows USING (record_id) WHERE w_start <= t AND t < w_end)

@@ -9,13 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import columns as C
 from ..operators import inspect as INS
 from ..operators import normalize as N
 from ..operators import resample as R
 from ..operators import selection as SEL
+from ..operators import timeaxis as T
 from ..operators import windows as W
 
 
+def sequences(wide: DataFrame, record: str, order: str, duration: str | None = None, most: int = 96) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of tables as recorded, all records in one: samples(record_id, seq, t, channel, value), activity
+    (record_id, seq, t, activity) and meta(record_id, rate_hz, time_source, duration, valid_ratio)."""
+    columns = [c for c in wide.columns if c not in (record, order)]
+    timed = T.inferred(wide, record, order, columns, duration).withColumnsRenamed({record: "record_id", order: "seq"})
+    numbers = C.numeric_frame(timed.drop("rate_hz", "time_source"), ["record_id", "seq", "t"], most)
+    long = N.melted(numbers, ["record_id", "seq", "t"], [c for c in numbers.columns if c not in ("record_id", "seq", "t")])
+    clock = timed.groupBy("record_id").agg(F.max("rate_hz").alias("rate_hz"), F.max("time_source").alias("time_source"), (F.max_by("t", "seq") - F.min_by("t", "seq") + 1 / F.greatest(F.max("rate_hz"), F.lit(1e-9))).alias("duration"))
+    valid = long.groupBy("record_id").agg(F.avg(F.col("value").isNotNull().cast("int")).alias("valid_ratio"))
+    return long, N.activity(long), clock.join(valid, "record_id")
+
+
 def preprocessed(left: DataFrame, right: DataFrame, rate_left: float, settings: Mapping[str, Any]) -> tuple[DataFrame, DataFrame]:
     """(windows, series) of left samples(record_id, seq, t, channel, value) and a right timeline(record_id,
     seq, t, activity, detected).
