@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from .textkit import IS_SPACE, Bytes, Hashes, byte_view, mix, pair_hash, per_row, portions, words
 
 #: (bytes below, lowest ratio, highest ratio) of whole texts, by length; the first row that fits holds.
-WHOLE_BANDS = ((200, 0.40, 1.20), (400, 0.565, 0.90), (800, 0.52, 0.80), (1600, 0.478, 0.75), (3200, 0.46, 0.72), (6400, 0.428, 0.70), (12800, 0.41, 0.70), (25600, 0.395, 0.70), (51200, 0.38, 0.70), (float("inf"), 0.36, 0.70))
+WHOLE_BANDS = ((200, 0.40, 1.20), (400, 0.52, 0.90), (800, 0.515, 0.80), (1600, 0.478, 0.75), (3200, 0.454, 0.72), (6400, 0.428, 0.70), (12800, 0.41, 0.70), (25600, 0.395, 0.70), (51200, 0.38, 0.70), (float("inf"), 0.36, 0.70))
 #: The same for chunks: a whole chunk, and a shorter last one by the bands above.
-CHUNK_BYTES, CHUNK_BAND = 2048, (0.455, 0.75)
+CHUNK_BYTES, CHUNK_BAND = 2048, (0.454, 0.75)
 #: A text goes when more than this share of its chunks leaves the band.
 BAD_CHUNKS = 0.25
 SYMBOLS = b"#*$%&|<>"
