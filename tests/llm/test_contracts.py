@@ -269,6 +269,20 @@ def test_viterbi_equals_all_paths():
         assert value(langid.viterbi(s, 3.0)) == pytest.approx(value(best))
 
 
+def test_texts_kept_from_the_search_have_one_best_label():
+    rng = np.random.default_rng(9)
+    model = langid.Model(["a", "b", "c"], np.zeros((3, 1)), np.ones((1, 3), bool))
+    sizes = rng.integers(1, 12, 300)
+    rows = np.repeat(np.arange(300), sizes)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    scores = rng.normal(0, 5, (len(rows), 3))
+    best = np.array([scores[x:y].sum(axis=0).argmax() for x, y in zip(first[:-1], first[1:])])
+    doubt = model.may_switch(scores, best[rows], rows, first)
+    assert 0 < doubt.sum() < 300
+    for i in np.flatnonzero(~doubt):
+        assert set(langid.viterbi(scores[first[i] : first[i + 1]])) == {best[i]}
+
+
 def test_language_odd_rows(odd, none, docs):
     model = langid.train(docs)
     got = {r.doc_id: r for r in langid.language_spans(odd, model).collect() if r.doc_id is not None}

@@ -69,8 +69,9 @@ class Model:
         return out, first, totals
 
     def may_switch(self, scores: np.ndarray, label: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Texts where one label may not be the best path: some stretch gains more than one switch costs
-        in another language. Elsewhere every stretch away costs at least what it gains."""
+        """Texts where one label may not be the best path: some stretch gains more than half a switch in
+        another language. Elsewhere r stretches in other languages gain at most r / 2 switches and cost r of
+        them, or r - 1 (at least r / 2, from two on) if the label does not occur, so that it is best."""
         out = np.zeros(len(first) - 1, bool)
         if len(label):
             own = scores[np.arange(len(label)), label]
@@ -79,7 +80,7 @@ class Model:
                 before = np.concatenate([[0.0], gain[:-1]])
                 far = 2 * (np.abs(gain).max() + 1) * rows  # a later text's values lie below all earlier ones
                 rise = gain - far - np.minimum.accumulate(before - far)
-                out[rows[rise > SWITCH]] = True
+                out[rows[rise > SWITCH / 2]] = True
         return out
 
 
