@@ -22,8 +22,11 @@ from .textkit import Bytes, Words, byte_view, mix, pair_hash, portions, words
 
 #: Base, rate and largest exponent of the registers (two bytes each).
 B, RATE, TOP = 1.001, 20.0, 65534
-#: Bands and registers in a band: a pair at 0.8 is missed with probability (1 - 0.8**5)**30 = 7e-6.
-BANDS, ROWS = 30, 5
+#: Bands and registers in a band: a pair at 0.8 is missed with probability (1 - 0.8**6)**36 = 2e-5.
+BANDS, ROWS = 36, 6
+#: Rounds in which each bucket holds its sets against one of them. Afterwards components of more than SMALL
+#: sets, and buckets with more than CROWD sets of smaller ones, are met in blocks of about ELEMENTS elements.
+ROUNDS, SMALL, CROWD, ELEMENTS = 2, 16, 32, 32768
 #: A pair is dropped unverified when its likelihood at the wanted similarity is so far (in nats) below the best; 12 nats are 4.9 standard deviations.
 DOUBT = 12.0
 #: Most ids that are broadcast (8 bytes each) to pick texts; beyond it they are joined.
@@ -158,9 +161,10 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(judged, "u long, v long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
-    ids = written(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))).distinct(), "ids")
+def full_sets(ids: DataFrame, docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
+    """(id, n, members): the sorted shingles of the texts with the given ids; few ids are sent to the texts,
+    many are joined."""
+    ids = written(ids.select("id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
@@ -169,17 +173,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: str,
             for batch in portions(whole, "text"):
                 view = byte_view(batch.column(1))
                 h, first = shingles(words(view), len(view), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["id", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["id", "n", "members"])
+
+    return written(texts.mapInArrow(sets_of, "id long, n long, members binary"), "sets")
 
-    sets = written(texts.mapInArrow(sets_of, "id long, members binary"), "sets")
+
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
+    sets = full_sets(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))), docs, k, key, text)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
+            keep = [bool(alike(np.frombuffer(x, np.uint64), [np.frombuffer(y, np.uint64)], percent)[0]) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     a = sets.select(F.col("id").alias("u"), F.col("members").alias("x"))
@@ -187,6 +192,58 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: str,
     return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(compared, "u long, v long").distinct()
 
 
+def alike(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets have 100 * intersection >= percent * union with ``own``."""
+    sizes = np.array([len(o) for o in others])
+    if not len(own) or not sizes.sum():
+        return np.zeros(len(others), bool)
+    every = np.concatenate(others)
+    hit = np.concatenate([[0], np.cumsum(own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every)])
+    ends = np.cumsum(sizes)
+    both = hit[ends] - hit[ends - sizes]
+    return (both > 0) & (100 * both >= percent * (len(own) + sizes - both))
+
+
+def spanning(own: list[dict], others: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links (u, v) of components that join all alike sets of two blocks: fewer than there are components."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    out = []
+    sets = [np.frombuffer(o["members"], np.uint64) for o in others]
+    for q in own:
+        for i in np.flatnonzero(alike(np.frombuffer(q["members"], np.uint64), sets, percent)):
+            u, v = find(q["component"]), find(others[i]["component"])
+            if u != v:
+                top[max(u, v)] = min(u, v)
+                out.append((q["component"], others[i]["component"]))
+    return out
+
+
+def met_in_blocks(queries: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+    """(u, v) links between components: every text of queries(target, id, component) is held against every
+    text of members(target, id, component) with its target. Each block of queries meets each block of members
+    once, in one row; no pair of texts is ever a row."""
+    sets = full_sets(members.select("id").unionAll(queries.select("id")), docs, k, key, text).dropDuplicates(["id"])
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        parts = rows.join(sets.select("id", "n"), "id").groupBy("target").agg(F.ceil(F.sum("n") / ELEMENTS).alias("parts"))
+        dealt = rows.join(parts, "target").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts"))).join(sets, "id")
+        return dealt.groupBy("target", "block").agg(F.collect_list(F.struct("component", "members")).alias(name)).drop("block")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                links = spanning(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], names=["u", "v"])
+
+    return blocks(queries, "own").join(blocks(members, "others"), "target").select("own", "others").mapInArrow(met, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: the key, n_shingles, component_id and kept.
 
@@ -196,35 +253,63 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     is linked with nothing and has component_id null and kept true. Rows that repeat a key are one node:
     each gives a row, with the same component. An empty table gives no rows.
 
-    Equal sets are one class from the start, so copies never meet in pairs. In each bucket of a band every
-    class is first held against the bucket's smallest key; then, in buckets where more than one component
-    is left, against the classes of the others. Pairs inside a component are never made.
+    Equal sets are one class from the start, so copies never meet in pairs. In rounds, each bucket of a band
+    holds its classes against one of them, another in each round. Where a bucket then still has more than one
+    component, a few sets of small ones meet in pairs; many, and large components, meet in blocks. Pairs inside
+    a component are never rows.
     """
     table = written(sketched(docs, k, key, text), "sketches")
     known = table.where("n > 0 AND id IS NOT NULL")
     classes = written(known.groupBy("n", "s", "t").agg(F.min(F.struct("id", "regs")).alias("least")).select(F.col("least.id").alias("id"), "n", "s", "t", F.col("least.regs").alias("regs")), "classes")
-    single = classes.dropDuplicates(["id"]) if table.count() != table.select("id").distinct().count() else classes
+    single = classes.dropDuplicates(["id"]) if classes.count() != classes.select("id").distinct().count() else classes
 
     bands = written(proposed(single), "bands")
-    shared = bands.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("other")).where("leader <> other").select("band", "leader")
-    members = written(bands.join(shared, "band").select("band", "id", "n", "leader"), "buckets")
+    shared = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("band")
+    members = written(bands.join(shared, "band"), "buckets")
+
+    near = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+    groups: DataFrame | None = None
+
+    def mixed() -> DataFrame:
+        """The buckets with more than one component: (band, id, n, component)."""
+        if groups is None:
+            return members.withColumn("component", F.col("id"))
+        placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+        several = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+        return written(placed.join(several, "band"), "mixed")
+
+    def joined(links: DataFrame) -> DataFrame:
+        if groups is not None:
+            links = links.unionAll(groups.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        return written(components(links), "groups")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return confirmed(written(estimated(pairs, single, percent), "likely"), docs, k, percent, key, text)
+
+    for r in range(ROUNDS):
+        rows = mixed()
+        leaders = rows.groupBy("band").agg(F.min(F.struct((F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))).alias("order"), "id", "n", "component")).alias("l")).select("band", F.col("l.id").alias("leader"), F.col("l.n").alias("n_leader"), F.col("l.component").alias("c_leader"))
+        stars = rows.join(leaders, "band").where((F.col("component") != F.col("c_leader")) & near(F.col("n"), F.col("n_leader"))).select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
+        groups = joined(linked(stars))
+
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= SMALL).select("component", F.lit(True).alias("large"))
+    rest = written(mixed().join(sizes, "component", "left").withColumn("large", F.coalesce("large", F.lit(False))), "rest")
+    small = rest.where("NOT large")
+    crowds = small.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(f"size > {CROWD} AND lo <> hi").select("band")
+    few = small.join(crowds, "band", "left_anti")
+    a, b = few.alias("a"), few.alias("b")
+    across = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & near(F.col("a.n"), F.col("b.n"))).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+
+    large = rest.where("large").select("band", F.col("component").alias("target")).distinct()
+    apart = rest.join(large, "band").where("component <> target AND (NOT large OR component > target)").select(F.struct(F.lit("component").alias("kind"), F.col("target").alias("of")).alias("target"), "id", "component").distinct()
+    crowd = small.join(crowds, "band").select(F.struct(F.lit("band").alias("kind"), F.col("band").alias("of")).alias("target"), "id", "component")
+    queries = written(apart.unionAll(crowd), "queries")
+    whole = groups.select(F.col("node").alias("id"), "component").unionAll(groups.select(F.col("component").alias("id"), "component").distinct())
+    met = whole.join(apart.select(F.col("target.of").alias("component")).distinct(), "component").select(F.struct(F.lit("component").alias("kind"), F.col("component").alias("of")).alias("target"), "id", "component")
+    last = linked(across).unionAll(met_in_blocks(queries, written(met.unionAll(crowd), "members"), docs, k, percent, key, text))
 
-    alike = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
-    sizes = single.select(F.col("id").alias("leader"), F.col("n").alias("n_leader"))
-    stars = members.where("id <> leader").select("id", "leader", "n").distinct().join(sizes, "leader").where(alike(F.col("n"), F.col("n_leader"))).select(F.col("id").alias("u"), F.col("leader").alias("v"))
     copies = known.alias("k").join(classes.alias("c"), [equal(F.col(f"k.{x}"), F.col(f"c.{x}")) for x in ("n", "s", "t")]).where("k.id <> c.id").select(F.col("k.id").alias("u"), F.col("c.id").alias("v"))
-    first = written(confirmed(written(estimated(stars, single, percent), "likely"), docs, k, percent, key, text), "links")
-    groups = written(components(first), "groups")
-
-    placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    rest = written(placed.join(mixed, "band"), "mixed")
-    a, b = rest.alias("a"), rest.alias("b")
-    across = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & alike(F.col("a.n"), F.col("b.n"))).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    across = across.join(stars.select("u", "v"), ["u", "v"], "left_anti")
-    second = confirmed(written(estimated(across, single, percent), "likely"), docs, k, percent, key, text)
-
-    groups = components(first.unionAll(second).unionAll(copies.select("u", "v")))
+    groups = joined(last.unionAll(copies))
     out = table.select("id", "n").alias("t").join(groups.alias("g"), F.col("t.id") == F.col("g.node"), "left")
     component = F.coalesce("g.component", "t.id")
     return out.select(F.col("t.id").alias(key), F.col("t.n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("t.id") == component, F.lit(True)).alias("kept"))
