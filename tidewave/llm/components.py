@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
+#: Edges from which a join's side is worth a table of its own.
+MANY = 100_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def sided(minima: DataFrame, state: tuple) -> DataFrame:
+    """Minima of many edges are written, so that the join's sides are plain exchanges and a hub's rows split."""
+    return written(minima, "minima") if state[0] > MANY else minima
+
+
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """(u, v) edges of longs -> (node, component): the smallest node that can be reached.
 
@@ -25,10 +34,10 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(most):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        least = sided(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), state)
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large-star")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = sided(large.groupBy("u").agg(F.min("v").alias("m")), state)
         joined = large.join(lowest.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
         small = joined.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionAll(lowest.select("u", F.col("m").alias("v"))).distinct()
         edges, before = written(small, "small-star"), state

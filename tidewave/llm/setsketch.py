@@ -26,7 +26,7 @@ B, RATE, TOP = 1.001, 20.0, 65534
 BANDS, ROWS = 36, 6
 #: Rounds in which each bucket holds its sets against one of them. Afterwards components of more than SMALL
 #: sets, and buckets with more than CROWD sets of smaller ones, are met in blocks of about ELEMENTS elements.
-ROUNDS, SMALL, CROWD, ELEMENTS = 2, 16, 32, 32768
+ROUNDS, SMALL, CROWD, ELEMENTS = 2, 16, 32, 16384
 #: A pair is dropped unverified when its likelihood at the wanted similarity is so far (in nats) below the best; 12 nats are 4.9 standard deviations.
 DOUBT = 12.0
 #: Most ids that are broadcast (8 bytes each) to pick texts; beyond it they are joined.
@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     single = classes.dropDuplicates(["id"]) if classes.count() != classes.select("id").distinct().count() else classes
 
     bands = written(proposed(single), "bands")
-    shared = bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("band")
+    # what a hot band or hub is joined with is written first: then both sides are plain exchanges, which are split
+    shared = written(bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("band"), "shared")
     members = written(bands.join(shared, "band"), "buckets")
 
     near = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
@@ -276,7 +277,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
             return members.withColumn("component", F.col("id"))
         placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
         several = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        return written(placed.join(several, "band"), "mixed")
+        return written(placed.join(written(several, "several"), "band"), "mixed")
 
     def joined(links: DataFrame) -> DataFrame:
         if groups is not None:
@@ -288,7 +289,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
 
     for r in range(ROUNDS):
         rows = mixed()
-        leaders = rows.groupBy("band").agg(F.min(F.struct((F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))).alias("order"), "id", "n", "component")).alias("l")).select("band", F.col("l.id").alias("leader"), F.col("l.n").alias("n_leader"), F.col("l.component").alias("c_leader"))
+        leaders = written(rows.groupBy("band").agg(F.min(F.struct((F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))).alias("order"), "id", "n", "component")).alias("l")).select("band", F.col("l.id").alias("leader"), F.col("l.n").alias("n_leader"), F.col("l.component").alias("c_leader")), "leaders")
         stars = rows.join(leaders, "band").where((F.col("component") != F.col("c_leader")) & near(F.col("n"), F.col("n_leader"))).select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
         groups = joined(linked(stars))
 
@@ -317,5 +318,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are kept: one key of each group, and every null key."""
-    found = near_duplicates(docs, k, percent, key, text).where(~F.col("kept")).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(found, F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    found = written(near_duplicates(docs, k, percent, key, text).where(~F.col("kept")).select(F.col(key).alias("__gone")).distinct(), "gone")
+    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, F.col(key).cast("long") == F.col("__gone"), "left_anti")

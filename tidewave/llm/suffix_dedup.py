@@ -127,7 +127,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
                 done += batch.num_rows
 
     table = written(source.mapInArrow(cut, "anchor long, c1 long, c2 long, id long, th long, start long, n int"), "segments")
-    shared = table.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"), F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("all > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("differ"))
+    # written, so that the join's sides are plain exchanges and a hot anchor's rows can be split
+    shared = written(table.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"), F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("all > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("differ")), "shared")
     found = written(table.join(shared, "anchor"), "shared-segments")
     contents = written(found.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("times"), F.first("differ").alias("differ"), F.min(F.struct("id", "th", "start", "n")).alias("one")), "contents")
 
