@@ -16,10 +16,15 @@ MAD_TO_STD = 1.4826
 
 
 def samples(df: DataFrame, record: str, seq: str, ts: str, channel: str, value: str) -> DataFrame:
-    """The canonical table of an event table; t counts seconds from the record's first event."""
+    """The canonical table of an event table; t counts seconds from the record's first event.
+
+    The first times come from an aggregation, combined before its shuffle, and a join that a record with
+    most of the events does not hold up.
+    """
     rows = df.select(F.col(record).cast("string").alias("record_id"), F.col(seq).alias("seq"), epoch_micros(F.col(ts)).alias("us"), F.col(channel).alias("channel"), finite(F.col(value)).alias("value"))
-    first = F.min("us").over(Window.partitionBy("record_id"))
-    return rows.withColumn("t", (F.col("us") - first) / F.lit(1e6)).select("record_id", "seq", "t", "channel", "value")
+    first = df.select(F.col(record).cast("string").alias("record_id"), epoch_micros(F.col(ts)).alias("us")).groupBy("record_id").agg(F.min("us").alias("__first"))
+    timed = rows.alias("r").join(first.alias("f"), F.col("r.record_id").eqNullSafe(F.col("f.record_id")))
+    return timed.select("r.record_id", "seq", ((F.col("us") - F.col("__first")) / F.lit(1e6)).alias("t"), "channel", "value")
 
 
 def melted(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
