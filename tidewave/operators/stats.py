@@ -13,24 +13,25 @@ from pyspark.sql import functions as F
 STATS = ("mean", "std", "min", "max", "median", "q10", "q90", "iqr", "rms", "diff_std", "diff_abs_max")
 
 
-def series_features(rows: DataFrame, keys: Sequence[str], value: str = "value", order: str = "seq") -> DataFrame:
+def series_features(rows: DataFrame, keys: Sequence[str], value: str = "value", order: str = "seq", carry: Sequence[str] = ()) -> DataFrame:
     """Eleven statistics of each group's values that are not null, and their number ``n``; steps are
-    between such values, 0 if there is one only; all are null if there is none.
+    between such values, 0 if there is one only; all are null if there is none. ``carry``: columns that
+    are the same throughout a group.
 
     One exchange by ``keys``: the lag and all aggregates, with one percentile call, share it.
     """
-    has = F.col(value).isNotNull()
-    before = F.lag(value).over(Window.partitionBy(*keys, has).orderBy(order))
-    steps = rows.withColumn("__d", F.when(has, F.col(value) - before))
+    by = ", ".join(f"`{k}`" for k in keys)
+    before = F.expr(f"lag(`{value}`) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY `{order}`)")
+    steps = rows.withColumn("__d", F.col(value) - before)
     v = F.col(value)
     found = steps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.percentile(v, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("__q"), F.sqrt(F.avg(v * v)).alias("rms"),
-        F.stddev_pop("__d").alias("__ds"), F.max(F.abs(F.col("__d"))).alias("__dm"),
+        F.stddev_pop("__d").alias("__ds"), F.max(F.abs(F.col("__d"))).alias("__dm"), *[F.first(c).alias(c) for c in carry],
     )
     q = F.col("__q")
     zero = lambda c: F.when(F.col("n") > 0, F.coalesce(F.col(c), F.lit(0.0)))
-    return found.select(*keys, "n_rows", "n", "mean", "std", "min", "max", q[2].alias("median"), q[0].alias("q10"), q[4].alias("q90"), (q[3] - q[1]).alias("iqr"), "rms", zero("__ds").alias("diff_std"), zero("__dm").alias("diff_abs_max"))
+    return found.select(*keys, *carry, "n_rows", "n", "mean", "std", "min", "max", q[2].alias("median"), q[0].alias("q10"), q[4].alias("q90"), (q[3] - q[1]).alias("iqr"), "rms", zero("__ds").alias("diff_std"), zero("__dm").alias("diff_abs_max"))
 
 
 def wide(features: DataFrame, keys: Sequence[str], channels: Sequence[str], stats: Sequence[str] = STATS) -> DataFrame:

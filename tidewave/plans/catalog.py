@@ -213,7 +213,7 @@ def hopping_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
     w = windows(s)
-    found = ST.series_features(W.inside(s, w, LENGTH), ["record_id", "window_id", "channel", "w_start", "w_end"])
+    found = ST.series_features(W.inside(s, w, LENGTH), ["record_id", "window_id", "channel"], carry=["w_start", "w_end"])
     coverage = W.coverage(F.col("n_rows"), F.col("w_start"), F.col("w_end"), F.lit(1 / DAY))
     return rounded(found.withColumn("coverage", coverage).drop("w_start", "w_end"))
 
