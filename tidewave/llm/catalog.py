@@ -68,5 +68,28 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+#: Every window of 200 bytes, as hex; runs of those that start twice.
+REPEATS_SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 400)) AS m FROM (SELECT doc_id, h, unnest(range(greatest(0, len(h) // 2 - 199))) AS p FROM b)),
+t AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, p FROM w JOIN t USING (m)),
+o AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM g),
+q AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM o),
+runs AS (SELECT doc_id, k, min(p) AS x, max(p) + 200 AS y FROM q GROUP BY doc_id, k),
+cut AS (SELECT doc_id, count(*) AS n, sum(y - x) AS gone, list(x ORDER BY x) AS xs, list(y ORDER BY x) AS ys FROM runs GROUP BY doc_id)
+SELECT b.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(1, n + 2), lambda i: substr(h, 2 * (CASE WHEN i = 1 THEN 0 ELSE ys[i - 1] END) + 1, 2 * ((CASE WHEN i = n + 1 THEN len(h) // 2 ELSE xs[i] END) - (CASE WHEN i = 1 THEN 0 ELSE ys[i - 1] END)))), '') END)) AS kept_sha256 FROM b LEFT JOIN cut USING (doc_id)"""
+
+#: All pairs that share a shingle, then everything that can be reached.
+GROUPS_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.both >= 80 * (x.n + y.n - p.both)),
+r(node, top) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.v, r.top FROM r JOIN (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e) l ON r.node = l.u)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.top) AS component_id, d.doc_id = min(r.top) AS kept FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_vocabulary": urlfilter.oracle()}
+    """DuckDB's SQL for what it can express: the others need CRC-32, compression, models or alignment."""
+    return {"op1_suffix_array_dedup": REPEATS_SQL, "op4_url_vocabulary": urlfilter.oracle(), "op9_setsketch": GROUPS_SQL}
