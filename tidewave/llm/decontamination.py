@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .textkit import IS_TOKEN, Bytes, byte_view, pair_hash, portions, words
 
 #: Tokens in a seed; share of an item's seeds kept, the rarest first.
@@ -156,6 +157,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, item: str, text: str, size: in
         counts = docs.select(F.col(text).alias("text")).mapInArrow(counted, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
         return items.keep_rare({r["seed"]: r["n"] for r in counts.collect()})
 
+    bounded_batches(docs.sparkSession)
     part: list = []
     rows = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long"), F.col(text))
     for r in rows.toLocalIterator():

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mounted_folder
+from .shared import bounded_batches, mounted_folder
 from .textkit import Bytes, Words, byte_view, mix, portions, words
 
 U64, U32 = np.uint64, np.uint32
@@ -172,6 +172,7 @@ def train(docs: DataFrame, chosen: Column | None = None, text: str = "text") ->
     The driver sees a row of numbers for each bucket.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.where(chosen) if chosen is not None else docs
     parts = docs.rdd.getNumPartitions()
     bits = int(np.clip(2 * parts, MIN_BUCKETS, MAX_BUCKETS) - 1).bit_length()

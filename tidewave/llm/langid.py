@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .textkit import Bytes, Letters, LetterWords, byte_view, letter_words, mix, portions
 
 FEATURES = 1 << 15
@@ -183,6 +184,7 @@ def language_spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str
     its likelihood leads. A text without letters (null, empty) is ``und`` with score 0 and no spans, as
     is every text where nothing was learned. Rows are judged alone; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = "key long, lang_pred string, score double" + ", spans array<struct<start: long, end: long, lang: string>>" * spans
 
@@ -203,6 +205,7 @@ def held_out(key: str = "doc_id", parts: int = 3) -> Column:
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.2, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .shared import bounded_batches
 from .textkit import IS_SPACE, Bytes, Hashes, byte_view, mix, pair_hash, per_row, portions, words
 
 #: (bytes below, lowest ratio, highest ratio) of whole texts, by length; the first row that fits holds.
@@ -105,4 +106,5 @@ def compression_bands(docs: DataFrame, key: str = "doc_id", text: str = "text")
                     names=[f.split()[0] for f in SCHEMA.split(", ")],
                 )
 
+    bounded_batches(docs.sparkSession)
     return docs.selectExpr(f"cast(`{key}` as long) as doc_id", f"`{text}` as text").mapInArrow(judged, SCHEMA)

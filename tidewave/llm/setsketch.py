@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import equal, written
+from .shared import bounded_batches, equal, written
 from .textkit import Bytes, Words, byte_view, mix, pair_hash, portions, words
 
 #: Base, rate and largest exponent of the registers (two bytes each).
@@ -258,6 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     component, a few sets of small ones meet in pairs; many, and large components, meet in blocks. Pairs inside
     a component are never rows.
     """
+    bounded_batches(docs.sparkSession)
     table = written(sketched(docs, k, key, text), "sketches")
     known = table.where("n > 0 AND id IS NOT NULL")
     classes = written(known.groupBy("n", "s", "t").agg(F.min(F.struct("id", "regs")).alias("least")).select(F.col("least.id").alias("id"), "n", "s", "t", F.col("least.regs").alias("regs")), "classes")

@@ -7,6 +7,8 @@ at a time (a single longer text is taken alone and whole).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,7 +93,7 @@ def byte_view(texts: pa.Array) -> Bytes:
     return Bytes(data[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
-def portions(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batch with about ``most`` bytes of ``column`` each, one row at least."""
     if not batch.num_rows:
         return
@@ -101,6 +103,14 @@ def portions(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterato
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Gives free memory back to the system: idle workers otherwise keep the most that they ever used."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Hashes:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
 from .textkit import Bytes, byte_view, letter_words, portions
 
 #: Category and its 0/1 label as SQL over the labels table, in the chain's order.
@@ -101,6 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Mapping[str, str] = CA
     left out. The ``words`` words of each category with the greatest chi-square are counted in Spark;
     the driver fits on the 0/1 matrix of the bounded sample.
     """
+    bounded_batches(docs.sparkSession)
     names = list(categories)
     said = labels.select(F.col(key).cast("long").alias("key"), *[F.expr(sql).cast("int").alias(n) for n, sql in categories.items()]).dropna()
     said = said.groupBy("key").agg(*[F.max(n).alias(n) for n in names])
