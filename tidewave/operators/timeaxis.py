@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import epoch_micros, finite
 
 # Words in a column's name that may make it the clock, and the bounds of units and rates.
-TIME_WORDS = ("time", "timestamp", "datetime", "date", "second", "seconds", "sec", "frame", "时刻", "时间", "秒")
+TIME_WORDS = ("time", "timestamp", "datetime", "date", "second", "sec", "frame", "时刻", "时间", "秒")
 NANO_STEP, MILLI_STEP = 1e6, 1e3
 LEAST_RATE, MOST_RATE = 1e-4, 1e6
 
