@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import equal, written
+from .shared import bounded_batches, equal, written
 from .suffix_array import neighbours_agree, suffix_array
-from .textkit import OTHER_VALUES, Bytes, Hashes, byte_view, portions
+from .textkit import OTHER_VALUES, Bytes, Hashes, byte_view, portions, release
 
 LENGTH, GRAM = 200, 32
 #: Different segments of an anchor in a block, and bytes of a block (a whole anchor's share at least).
-HOT, BLOCK = 500, 1 << 19
+HOT, BLOCK = 500, 1 << 18
 #: Most rows that are broadcast to meet the texts; beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: A window of a hot anchor, as blocks send it on: digests, owner, and whether it still lacks an equal.
@@ -111,13 +111,14 @@ def repeats(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, th, starts, ends): the maximal runs of repeated bytes of each text that has any; ``id`` is the
     key (null: the least long), ``th`` a hash of the text, which tells rows with one key apart."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             ids = whole.column(0).to_numpy()
             done = 0
-            for batch in portions(whole, "text", 1 << 19):
+            for batch in portions(whole, "text", 1 << 18):
                 s = segments(byte_view(batch.column(1)), length, gram)
                 row = s["row"]
                 yield pa.RecordBatch.from_arrays(
@@ -149,7 +150,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "part", "id", "th", "start", "body"]
         for whole in batches:
-            for batch in portions(whole, "text", 1 << 19):
+            for batch in portions(whole, "text", 1 << 18):
                 view = byte_view(batch.column(1))
                 th = text_hashes(view, Hashes(view.data)).view(np.int64)
                 lists, ids = batch.column(2), batch.column(0).to_numpy()
@@ -196,6 +197,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
             hi = int(inside[-1]) if len(inside) else int(ends[ends > lo][0])
             yield block(rows.slice(lo, hi - lo))
             lo = hi
+        release()
 
     def block(rows: pa.Table) -> pa.RecordBatch:
         get = lambda i: rows.column(i).to_numpy()
@@ -237,8 +239,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, key:
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = [merged(np.array([x["start"] for x in r], np.int64), np.array([x["stop"] for x in r], np.int64)) for r in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i].tolist() for r in runs], pa.list_(pa.int64())) for i in (0, 1))], names=["id", "th", "starts", "ends"])
+            lists = batch.column(2)
+            inner, sizes = lists.flatten(), lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            x, y = inner.field("start").to_numpy(), inner.field("stop").to_numpy()
+            far = int(y.max(initial=0)) + 2  # rows lie apart, so that their spans never touch
+            x, y = merged(x + row * far, y + row * far)
+            cuts = pa.array(np.searchsorted(x // far, np.arange(batch.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.ListArray.from_arrays(cuts, pa.array(v - x // far * far)) for v in (x, y))], names=["id", "th", "starts", "ends"])
+            release()
 
     grouped = spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return written(grouped.mapInArrow(joined, "id long, th long, starts array<long>, ends array<long>"), "runs")
