@@ -90,9 +90,10 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], reach[np.r_[first[1:] - 1, len(starts) - 1]]
 
 
-def repeats(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repeats(bodies: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """Of a block of segments, by one suffix array: for each window its segment, place, whether an equal
-    one stands elsewhere in the block, and whether it is the first of its equals; and the block's text."""
+    one stands elsewhere in the block, and whether it is the first of its equals; then the block's text
+    and where each segment begins in it."""
     text = np.frombuffer(bytes([BETWEEN]).join([*bodies, b""]), np.uint8)
     sizes = np.array([len(b) for b in bodies])
     heads = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
