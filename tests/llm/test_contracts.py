@@ -364,6 +364,45 @@ def test_contaminated_passages(spark):
     assert {r.doc_id for r in decontamination.decontaminated(docs, bench).collect()} == {0, 4, 5, 6, 8}
 
 
+@pytest.mark.parametrize("also_exact", [False, True])
+def test_edited_and_partial_copies_are_found(spark, also_exact):
+    """Copies whose other seeds occur nowhere, alone and beside an exact copy; items of 40 tokens."""
+    n, fill = 40, " ".join(f"filler{i}" for i in range(60))
+    item = lambda i: [f"w{i}x{j}" for j in range(n)]
+    copies = [[f"new{j}" if j % step == step // 2 else x for j, x in enumerate(item(i))] for i, step in enumerate((7, 6, 5))]
+    copies += [item(3)[: n // 2], item(4)[n // 2 :], item(5)[:8]]
+    docs = [(i, f"{fill} {' '.join(c)} {fill}") for i, c in enumerate(copies)]
+    # what is left of the last item is in many texts, too: a common seed is a seed
+    left = item(6)[: n // 2]
+    docs += [(10 + i, f"{' '.join(left)} {fill}") for i in range(50)]
+    if also_exact:
+        docs += [(100 + i, " ".join(item(i))) for i in range(7)]
+    bench = spark.createDataFrame([(i, " ".join(item(i))) for i in range(7)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    want = {(i, i) for i in range(5)} | {(10 + i, 6) for i in range(50)} | ({(100 + i, i) for i in range(7)} if also_exact else set())
+    assert set(got) == want
+    assert got[3, 3] == got[4, 4] == 0.5 and all(got[i, i] < 0.8 for i in range(5))
+
+
+def test_passages_left_out_cannot_reach_the_score(monkeypatch):
+    """Every text and item with a seed against a plain alignment of the whole text, in portions of any size."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    items = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30))) for _ in range(12)]
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 90))) for _ in range(100)]
+    view = textkit.byte_view(pa.array(texts, pa.large_string()))
+    found = decontamination.Items(list(range(12)), items)
+    whole = found.hits(view)
+    for r, i, score, _, _ in whole:
+        a, b = ([ord(x) for x in t.split()] for t in (items[i], texts[r]))
+        assert score * len(a) <= plain_alignment(a, b)
+    monkeypatch.setattr(decontamination, "TOKENS", 50)
+    assert found.hits(view) == whole
+    monkeypatch.setattr(decontamination.Items, "shared", lambda self, h, item, lo, hi: hi - lo + 1000)
+    assert found.hits(view) == whole and len(whole) > 20
+
+
 def test_contamination_without_items(spark, odd, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(odd, bench).count() == 0

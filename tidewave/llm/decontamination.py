@@ -1,8 +1,8 @@
 """Benchmark decontamination.
 
-The n-grams of each test item that are rare in the corpus are seeds. Where a text has a seed of an
-item, the passage around it is aligned with the item by Smith-Waterman over tokens, which scores copies
-with words changed, dropped or put in.
+All n-grams of a test item are seeds. Where a text has a seed of an item, the passage around it is
+aligned with the item by Smith-Waterman over tokens, which scores copies with words changed, dropped or
+put in. Passages with too few of the item's tokens to reach the score are not aligned.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from .shared import bounded_batches
 from .textkit import IS_TOKEN, Bytes, byte_view, pair_hash, portions, words
 
-#: Tokens in a seed; share of an item's seeds kept, the rarest first.
-SEED, RARE = 3, 0.5
+#: Tokens in a seed.
+SEED = 3
 #: Least score by the item's tokens (match 1, else -1), and least matches of a short item.
 LEAST_SHARE, LEAST_SCORE = 0.4, 8
 #: Items handled at a time; each block of items is one pass over the corpus.
 BLOCK = 20000
+#: Passages aligned at a time, and their tokens with padding (one passage at least).
+PASSAGES, TOKENS = 256, 1 << 18
 
 
 def grams(h: np.ndarray, rows: np.ndarray, n: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -52,16 +54,7 @@ class Items:
         places = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
         order = np.argsort(hashes, kind="stable")
         self.seeds, self.item, self.place = hashes[order], items[order], places[order]
-
-    def keep_rare(self, counts: dict[int, int]) -> Items:
-        """Leaves each item the rarer part of its seeds; equally rare ones all stay."""
-        n = np.array([counts.get(int(s), 0) for s in self.seeds.view(np.int64)], np.int64)
-        keep = np.zeros(len(n), bool)
-        for i in np.unique(self.item):
-            own = np.flatnonzero(self.item == i)
-            keep[own] = n[own] <= np.sort(n[own])[int(np.ceil(RARE * len(own))) - 1]
-        self.seeds, self.item, self.place = self.seeds[keep], self.item[keep], self.place[keep]
-        return self
+        self.vocabulary = np.unique(pair_hash(np.repeat(np.arange(len(ids), dtype=np.uint64), np.diff(w.first)), w.hashes))
 
     def found(self, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of a seed, place in the texts) of every seed that occurs."""
@@ -76,6 +69,21 @@ class Items:
             places.append(at[hit][back])
         return (np.concatenate(seeds), np.concatenate(places)) if seeds else (np.zeros(0, int), np.zeros(0, int))
 
+    def shared(self, h: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Tokens of each passage that its item has: no alignment scores more."""
+        out = np.zeros(len(item), np.int64)
+        ends = np.cumsum(hi - lo)
+        a = 0
+        while a < len(item):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOKENS, "right")))
+            size = (hi - lo)[a:b]
+            at = np.arange(size.sum()) + np.repeat(lo[a:b] - np.cumsum(size) + size, size)
+            pairs = pair_hash(np.repeat(item[a:b].astype(np.uint64), size), h[at])
+            known = self.vocabulary[np.minimum(np.searchsorted(self.vocabulary, pairs), len(self.vocabulary) - 1)] == pairs
+            out[a:b] = np.bincount(np.repeat(np.arange(b - a), size), known, b - a)
+            a = b
+        return out
+
     def hits(self, view: Bytes) -> list[tuple[int, int, float, int, int]]:
         """(text, item, score by the item's tokens, first and end token) of the best passage of each
         text and item that scores enough."""
@@ -96,14 +104,18 @@ class Items:
         lo = np.maximum(w.first[row[head]], begin[head] - slack)
         hi = np.minimum(w.first[row[head] + 1], begin[last] + length[item[head]] + slack)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        by_size = np.argsort(length[item[head]] * (hi - lo), kind="stable")
-        for at in range(0, len(by_size), 256):
-            some = by_size[at : at + 256]
+        least = np.maximum(LEAST_SHARE * length[item[head]], np.minimum(length[item[head]], LEAST_SCORE))
+        may = np.flatnonzero(self.shared(w.hashes, item[head], lo, hi) >= least)
+        by_size = may[np.argsort((hi - lo)[may], kind="stable")]
+        at = 0
+        while at < len(by_size):
+            wide = (hi - lo)[by_size[at : at + PASSAGES]]
+            some = by_size[at : at + max(1, int((wide * np.arange(1, len(wide) + 1) <= TOKENS).sum()))]
+            at += len(some)
             a = [self.hashes[self.first[i] : self.first[i + 1]] for i in item[head[some]]]
             b = [w.hashes[x:y] for x, y in zip(lo[some], hi[some], strict=True)]
             score, end = align(a, b)
-            need = np.maximum(LEAST_SHARE * length[item[head[some]]], np.minimum(length[item[head[some]]], LEAST_SCORE))
-            good = np.flatnonzero(score >= need)
+            good = np.flatnonzero(score >= least[some])
             _, rest = align([a[g][::-1] for g in good], [b[g][: end[g]][::-1] for g in good])
             for g, r in zip(good, rest, strict=True):
                 k = head[some[g]]
@@ -137,49 +149,31 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, end
 
 
-def blocks(docs: DataFrame, benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[Items]:
-    """The items, ``size`` at a time, each block with the seeds that are rare in ``docs``."""
-
-    def ready(part: list) -> Items:
-        items = Items([r[0] for r in part], [r[1] for r in part])
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = sent.value
-            total = np.zeros(len(own.seeds), np.int64)
-            for whole in batches:
-                for batch in portions(whole, "text"):
-                    w = words(byte_view(batch.column(0)), within=IS_TOKEN)
-                    total += np.bincount(own.found(w.hashes, w.rows)[0], minlength=len(total))
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(own.seeds[at].view(np.int64)), pa.array(total[at])], names=["seed", "n"])
-
-        counts = docs.select(F.col(text).alias("text")).mapInArrow(counted, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        return items.keep_rare({r["seed"]: r["n"] for r in counts.collect()})
-
-    bounded_batches(docs.sparkSession)
+def blocks(benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[Items]:
+    """The items, ``size`` at a time."""
+    bounded_batches(benchmark.sparkSession)
     part: list = []
     rows = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(F.col(item).cast("long"), F.col(text))
     for r in rows.toLocalIterator():
         part.append(r)
         if len(part) == size:
-            yield ready(part)
+            yield Items([r[0] for r in part], [r[1] for r in part])
             part = []
     if part:
-        yield ready(part)
+        yield Items([r[0] for r in part], [r[1] for r in part])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each text and test item that it holds: the key, item, score (1: an exact copy), and
     the passage's first and end token (runs of letters and digits, lower-cased).
 
-    Items go to the workers in blocks of a fixed size, each with two passes over the corpus (seed counts,
-    then seeds and alignments), so any number of items is handled and no text is shuffled. Null and empty
+    Items go to the workers in blocks of a fixed size, each with one pass over the corpus (seeds, then
+    alignments), so any number of items is handled and no text is shuffled. Null and empty
     texts or items match nothing; equal items each give rows, and repeated rows repeat; without items or
     texts there are no rows.
     """
     out = docs.sparkSession.createDataFrame([], f"`{key}` long, `{item}` long, score double, first_token long, end_token long")
-    for items in blocks(docs, benchmark, item, text, block):
+    for items in blocks(benchmark, item, text, block):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def aligned(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -196,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no test item."""
-    for items in blocks(docs, benchmark, item, text, block):
+    for items in blocks(benchmark, item, text, block):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
