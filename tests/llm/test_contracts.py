@@ -298,6 +298,16 @@ def test_unknown_script_leaves_all_languages(spark, docs):
     assert r.lang_pred in langid.train(docs).languages
 
 
+def test_texts_of_no_known_language_go(spark, docs):
+    rng = random.Random(1)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for n in (5, 30, 300)]
+    foreign = ["Все люди рождаются свободными и равными в своем достоинстве и правах", "すべての人間は、生まれながらにして自由であり", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności"]
+    known = [docs.where(f"lang = '{x}' AND n_chars BETWEEN 300 AND 2500").first().text for x in ("en", "de", "fr")]
+    texts = [None, "", "123", *noise, *foreign, *known, known[0][:300] + " " + known[1][:300]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in langid.keep_known(df, langid.train(docs)).collect()) == [9, 10, 11, 12]
+
+
 # 6
 
 

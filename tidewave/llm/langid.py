@@ -148,14 +148,17 @@ def train(docs: DataFrame, chosen: Column | None = None, key: str = "doc_id", te
     return Model(languages, table, allowed)
 
 
-def judged(model: Model, view: Bytes, spans: bool = False) -> pd.DataFrame:
-    """lang_pred, score and, if asked for, spans [(first letter, end, language)] of each text."""
+def judged(model: Model, view: Bytes, spans: bool = False, gain: bool = False) -> pd.DataFrame:
+    """lang_pred, score and, if asked for, spans [(first letter, end, language)] of each text, and by how much
+    the mean log probability of its trigrams in their words' languages is above that of chance."""
     w = letter_words(view)
     n, k = len(view), len(model.languages)
     pred, score = np.full(n, UNKNOWN, object), np.zeros(n)
     out = pd.DataFrame({"lang_pred": pred, "score": score})
     if spans:
         out["spans"] = [[] for _ in range(n)]
+    if gain:
+        out["gain"] = 0.0
     if not k or not len(w.starts):
         return out
     label, first, totals = model.labels(w)
@@ -167,6 +170,11 @@ def judged(model: Model, view: Bytes, spans: bool = False) -> pd.DataFrame:
     sure = 1 / np.maximum(1, np.exp(np.minimum(0, behind)).sum(axis=1))
     out["lang_pred"] = np.where(some, np.array(model.languages, object)[best], UNKNOWN)
     out["score"] = np.where(some, shares * sure, 0.0)
+    if gain:
+        lengths = w.ends - w.starts
+        found, _ = features(w)
+        above = model.table[np.repeat(label, lengths), found] + np.log(FEATURES)
+        out["gain"] = np.bincount(np.repeat(w.rows, lengths), above, n) / np.maximum(1, letters.sum(axis=1))
     if spans:
         heads = np.concatenate([[0], np.cumsum((view.data & 0xC0) != 0x80)])[view.offsets]
         new = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (w.rows[1:] != w.rows[:-1])])
@@ -204,14 +212,16 @@ def held_out(key: str = "doc_id", parts: int = 3) -> Column:
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.2, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more."""
+    """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more and
+    is explained better than by chance: the letter trigrams are on average likelier in the languages of
+    their words than one of ``FEATURES`` equally likely ones. Noise and unknown languages or scripts are not."""
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in portions(whole, text):
-                got = judged(sent.value, byte_view(batch.column(batch.schema.names.index(text))))
-                yield batch.filter(pa.array((got.lang_pred != UNKNOWN).to_numpy() & (got.score >= least).to_numpy()))
+                got = judged(sent.value, byte_view(batch.column(batch.schema.names.index(text))), gain=True)
+                yield batch.filter(pa.array(((got.lang_pred != UNKNOWN) & (got.score >= least) & (got.gain > 0)).to_numpy()))
 
     return docs.mapInArrow(kept, docs.schema)
