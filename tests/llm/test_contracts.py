@@ -542,6 +542,27 @@ def test_groups_of_nothing(none, odd):
     assert {7, 16} & {r.doc_id for r in left.collect()} == set()
 
 
+@pytest.mark.parametrize("ids", [0, 10**6])
+def test_one_row_of_each_group(spark, monkeypatch, ids):
+    """Rows that repeat a key, with equal, like and other texts, and rows with a null key."""
+    monkeypatch.setattr(setsketch, "BROADCAST_IDS", ids)
+    text = lambda name, new=0: " ".join(f"{name}{'new' if i < new else ''}{i}" for i in range(100))
+    a, b, c, d = map(text, "abcd")
+    rows = [(1, a), (1, a), (1, a), (2, a), (None, a), (3, b), (3, text("b", 2)), (4, c), (4, d), (None, text("e")), (None, text("e")), (None, text("e", 2)), (None, None), (5, None), (6, text("f"))]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string").repartition(4)
+    left = setsketch.one_of_each(df, k=5)
+    assert left.columns == df.columns
+    got = collections.Counter((r.doc_id, r.text.split()[-1][:1] if r.text else None) for r in left.collect())
+    assert got == {(1, "a"): 1, (3, "b"): 1, (4, "c"): 1, (4, "d"): 1, (None, "e"): 1, (None, None): 1, (5, None): 1, (6, "f"): 1}
+
+
+@pytest.mark.parametrize(("low", "high"), [(0, (1 << 63) - 1), (-(1 << 63), 0)])
+def test_nodes_of_keys_at_the_ends(spark, low, high):
+    df = spark.createDataFrame([(low, "x"), (low, "x"), (high, "y"), (high, "z"), (None, "x"), (7, "x")], "doc_id long, text string")
+    rows = setsketch.own_nodes(df, "doc_id", "node").collect()
+    assert len({r.node for r in rows}) == len(rows) == 6 and {low, high, 7} <= {r.node for r in rows}
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(8)
     a, b = rng.integers(0, 1 << 62, 900).astype(np.uint64), rng.integers(0, 1 << 62, 300).astype(np.uint64)

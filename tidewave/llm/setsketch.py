@@ -317,7 +317,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     return out.select(F.col("t.id").alias(key), F.col("t.n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("t.id") == component, F.lit(True)).alias("kept"))
 
 
+def own_nodes(docs: DataFrame, key: str, node: str) -> DataFrame:
+    """``docs`` with a column ``node`` that no two rows share: the key, or for null keys and all but one row
+    of a repeated key a number above the keys (below them, where they end too high)."""
+    at = F.col(key).cast("long")
+    repeated = written(docs.groupBy(at.alias("__key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR __key IS NULL").select("__key"), "repeated")
+    several = repeated.count()
+    if not several:
+        return docs.withColumn(node, at)
+    keys = F.broadcast(repeated) if several <= BROADCAST_IDS else repeated
+    again = written(docs.join(keys, equal(at, F.col("__key")), "left_semi").withColumn("__row", F.monotonically_increasing_id()), "again")
+    first = again.where(at.isNotNull()).groupBy(at.alias("__key")).agg(F.min("__row").alias("__row")).select("__row", F.col("__key").alias(node))
+    low, high, most = (x or 0 for x in docs.agg(F.min(at), F.max(at)).first()[:2] + again.agg(F.max("__row")).first()[:1])
+    if high + most + 1 < 1 << 63:
+        number = F.lit(high + 1) + F.col("__row")
+    elif low - most - 1 >= -(1 << 63):
+        number = F.lit(low - 1) - F.col("__row")
+    else:
+        raise ValueError(f"{key} leaves no room for the rows that repeat it")
+    numbered = again.join(first, "__row", "left").withColumn(node, F.coalesce(F.col(node), number)).drop("__row")
+    return docs.join(keys, equal(at, F.col("__key")), "left_anti").withColumn(node, at).unionByName(numbered)
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are kept: one key of each group, and every null key."""
-    found = written(near_duplicates(docs, k, percent, key, text).where(~F.col("kept")).select(F.col(key).alias("__gone")).distinct(), "gone")
-    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, F.col(key).cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, all columns, that are kept: one row of each group, with its smallest key.
+
+    Unlike in ``near_duplicates``, every row is a node: of rows that repeat a key and of rows with a null
+    key, too, one of each group stays, and texts that are not alike all stay.
+    """
+    nodes = own_nodes(docs, key, "__node")
+    found = written(near_duplicates(nodes, k, percent, "__node", text).where(~F.col("kept")).select(F.col("__node").alias("__gone")).distinct(), "gone")
+    return nodes.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, F.col("__node") == F.col("__gone"), "left_anti").drop("__node")
