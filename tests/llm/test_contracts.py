@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tidewave.llm import catalog, components, decontamination, kneser_ney, langid, packing, quality, setsketch, sharding, suffix_array, suffix_dedup, textkit, toxicity, urlfilter
+from tidewave.llm import catalog, components, decontamination, kneser_ney, langid, packing, quality, setsketch, shared, sharding, suffix_array, suffix_dedup, textkit, toxicity, urlfilter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, key string, n int, id string"
@@ -69,6 +69,31 @@ def test_word_hashes_tell_words_apart():
     assert collections.Counter(zip(flat, w.hashes.tolist())).keys() == {(x, h) for x, h in zip(flat, w.hashes.tolist())}
 
 
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hashes_are_no_polynomials(spark):
+    """Texts, lines and words that every polynomial modulo a power of two confuses."""
+    one, other = thue_morse(4096)
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    for n in (64, 256, 2048, 4096):
+        at = np.array([0, 4096])
+        assert len(set(textkit.range_hashes(data, at, at + n).tolist())) == 2
+        assert all(len(set(d.tolist())) == 2 for d in textkit.digests(data, at, at + n))
+    text = f"{one}\n{other}\n" + " ".join(map(str, range(60)))
+    df = spark.createDataFrame([(1, text), (2, one), (3, other)], "doc_id long, text string")
+    assert quality.compression_bands(df).where("doc_id = 1").first().n_dup_lines == 0
+    check_repeats(df)
+    got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(df.where("doc_id > 1"), k=2).collect()}
+    assert got == {2: 2, 3: 3}
+    model = kneser_ney.train(df)
+    assert model.v == 63
+
+
 # 1
 
 
@@ -107,16 +132,50 @@ def test_suffix_dedup_odd_rows(odd, monkeypatch, hot):
     check_repeats(odd)
 
 
-def test_suffix_dedup_shuffled_sides(odd, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
+@pytest.mark.parametrize("heavy", [1, 10**9])
+def test_suffix_dedup_shuffled_sides(odd, monkeypatch, heavy):
+    """Nothing is broadcast, or every key with two rows is heavy."""
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(shared, "LIGHT", 1 if heavy > 1 else 10**9)
+    monkeypatch.setattr(shared, "HEAVY_KEYS", heavy)
     check_repeats(odd)
 
 
-def test_suffix_dedup_edits_texts(odd):
+def first_copies(rows, length):
+    """Texts without the bytes that an earlier equal window covers, by number, then place."""
+    data = [(t or "").encode() for t in rows]
+    seen, out = set(), []
+    for d in data:
+        gone = np.zeros(len(d) + 1, int)
+        for i in range(len(d) - length + 1):
+            if d[i : i + length] in seen:
+                gone[i] += 1
+                gone[i + length] -= 1
+            seen.add(d[i : i + length])
+        out.append(bytes(np.frombuffer(d, np.uint8)[np.cumsum(gone)[: len(d)] == 0]).decode("utf-8", "ignore"))
+    return out
+
+
+@pytest.mark.parametrize("hot", [2, 500])
+def test_first_copies_stay(spark, odd, docs, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    unique = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    for df in (unique, docs) if hot == 500 else (unique,):
+        out = suffix_dedup.without_repeats(df)
+        assert out.columns == df.columns and out.count() == df.count()
+        rows = sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+        want = first_copies([t for _, t in rows], 200)
+        assert {r.doc_id: r.text for r in out.collect()} == {i: w if t is not None else None for (i, t), w in zip(rows, want)}
+
+
+def test_rows_that_repeat_keep_one_text(odd, none):
     out = suffix_dedup.without_repeats(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
-    found = {r.doc_id: r.text for r in out.collect() if r.doc_id is not None}
-    assert found[3] == "one" and found[0] is None and found[6] == ""
+    rows = [(r.doc_id, r.text) for r in out.collect()]
+    base = odd_rows()[6][1]
+    assert sum(base in (t or "") for _, t in rows) == 1 and (6, base) in rows
+    assert (3, "one") in rows and (0, None) in rows and suffix_dedup.without_repeats(none).count() == 0
 
 
 def test_suffix_array_orders_suffixes():
@@ -293,6 +352,13 @@ def test_language_odd_rows(odd, none, docs):
     assert {r.lang_pred for r in langid.language_spans(odd, untrained).collect()} == {"und"}
 
 
+def test_nothing_learned_keeps_no_secret(spark, odd, none):
+    untrained = langid.train(odd.withColumn("lang", F.lit(None).cast("string")))
+    with pytest.raises(ValueError, match="no language was learned"):
+        langid.keep_known(odd, untrained)
+    assert langid.keep_known(none, untrained).count() == 0
+
+
 def test_unknown_script_leaves_all_languages(spark, docs):
     r = langid.language_spans(spark.createDataFrame([(1, "слово ещё")], "doc_id long, text string"), langid.train(docs)).first()
     assert r.lang_pred in langid.train(docs).languages
@@ -483,6 +549,7 @@ def shingle_set(t, k):
 
 
 def plain_groups(rows, k, percent=80):
+    """The smallest key that links reach; a key's rows are one document with several texts."""
     node = {}
     for i, t in rows:
         if i is not None:
@@ -503,6 +570,28 @@ def plain_groups(rows, k, percent=80):
     return {i: top(i) for i in ids}
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_a_key_with_two_texts_loses_no_link(spark, turned):
+    text = lambda name, new=(): " ".join(f"new{i}" if i in new else f"{name}{i}" for i in range(101))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b", [50])), (3, text("a", [7])), (7, text("c")), (7, text("d")), (8, text("c", [1])), (5, text("d", [2])), (9, text("e"))]
+    rows = rows[::-1] if turned else rows
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = setsketch.near_duplicates(df, k=2).collect()
+    want = plain_groups(rows, 2)
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] and r.kept == (r.component_id == r.doc_id) for r in got)
+    assert want == {1: 1, 2: 1, 3: 1, 5: 5, 7: 5, 8: 5, 9: 9}
+
+
+def test_group_query_equals_sql(spark, duck, odd):
+    import duckdb
+
+    con = duckdb.connect()
+    frame = odd.select("doc_id", "text").toPandas()  # noqa: F841
+    con.execute("CREATE TABLE documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text FROM frame")
+    for want, df in ((con.execute(catalog.GROUPS_SQL).fetchall(), odd), (duck.execute(catalog.GROUPS_SQL).fetchall(), spark.read.parquet(f"{SF}/documents.parquet"))):
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in setsketch.near_duplicates(df, k=2).collect())
+
+
 @pytest.mark.parametrize(("which", "k"), [("docs", 2), ("docs", 5), ("odd", 2), ("odd", 5), ("odd", 1)])
 def test_groups_equal_all_pairs(which, k, request):
     df = request.getfixturevalue(which)
@@ -542,10 +631,10 @@ def test_groups_of_nothing(none, odd):
     assert {7, 16} & {r.doc_id for r in left.collect()} == set()
 
 
-@pytest.mark.parametrize("ids", [0, 10**6])
-def test_one_row_of_each_group(spark, monkeypatch, ids):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_one_row_of_each_group(spark, monkeypatch, most):
     """Rows that repeat a key, with equal, like and other texts, and rows with a null key."""
-    monkeypatch.setattr(setsketch, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", most)
     text = lambda name, new=0: " ".join(f"{name}{'new' if i < new else ''}{i}" for i in range(100))
     a, b, c, d = map(text, "abcd")
     rows = [(1, a), (1, a), (1, a), (2, a), (None, a), (3, b), (3, text("b", 2)), (4, c), (4, d), (None, text("e")), (None, text("e")), (None, text("e", 2)), (None, None), (5, None), (6, text("f"))]
@@ -559,7 +648,7 @@ def test_one_row_of_each_group(spark, monkeypatch, ids):
 @pytest.mark.parametrize(("low", "high"), [(0, (1 << 63) - 1), (-(1 << 63), 0)])
 def test_nodes_of_keys_at_the_ends(spark, low, high):
     df = spark.createDataFrame([(low, "x"), (low, "x"), (high, "y"), (high, "z"), (None, "x"), (7, "x")], "doc_id long, text string")
-    rows = setsketch.own_nodes(df, "doc_id", "node").collect()
+    rows = shared.own_nodes(df, "doc_id", "node").collect()
     assert len({r.node for r in rows}) == len(rows) == 6 and {low, high, 7} <= {r.node for r in rows}
 
 

@@ -80,14 +80,19 @@ cut AS (SELECT doc_id, count(*) AS n, sum(y - x) AS gone, list(x ORDER BY x) AS
 SELECT b.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(1, n + 2), lambda i: substr(h, 2 * (CASE WHEN i = 1 THEN 0 ELSE ys[i - 1] END) + 1, 2 * ((CASE WHEN i = n + 1 THEN len(h) // 2 ELSE xs[i] END) - (CASE WHEN i = 1 THEN 0 ELSE ys[i - 1] END)))), '') END)) AS kept_sha256 FROM b LEFT JOIN cut USING (doc_id)"""
 
-#: All pairs that share a shingle, then everything that can be reached.
-GROUPS_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-sh AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM w),
-n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
-e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.both >= 80 * (x.n + y.n - p.both)),
-r(node, top) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.v, r.top FROM r JOIN (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e) l ON r.node = l.u)
-SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.top) AS component_id, d.doc_id = min(r.top) AS kept FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+#: All pairs of rows that share a shingle, then everything that can be reached; rows of one key are linked.
+GROUPS_SQL = r"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, text FROM documents),
+w AS (SELECT i, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM d),
+sh AS MATERIALIZED (SELECT DISTINCT i, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1]) ELSE w END) AS s FROM w),
+n AS MATERIALIZED (SELECT i, count(*) AS n FROM sh GROUP BY i),
+p AS (SELECT a.i AS a, b.i AS b, count(*) AS both FROM sh a JOIN sh b ON a.s = b.s AND a.i < b.i GROUP BY a.i, b.i),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.i = a JOIN n y ON y.i = b WHERE 100 * p.both >= 80 * (x.n + y.n - p.both)),
+k AS MATERIALIZED (SELECT DISTINCT x.doc_id AS u, y.doc_id AS v FROM e JOIN d x ON x.i = a JOIN d y ON y.i = b WHERE x.doc_id <> y.doc_id),
+l AS MATERIALIZED (SELECT u, v FROM k UNION SELECT v, u FROM k),
+r(node, top) AS (SELECT DISTINCT doc_id, doc_id FROM d WHERE doc_id IS NOT NULL UNION SELECT l.v, r.top FROM r JOIN l ON r.node = l.u),
+m AS (SELECT node, min(top) AS top FROM r GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.top AS component_id, coalesce(d.doc_id = m.top, true) AS kept
+FROM d LEFT JOIN m ON m.node = d.doc_id LEFT JOIN n ON n.i = d.i"""
 
 
 def oracle_sql() -> dict[str, str]:

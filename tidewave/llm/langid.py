@@ -214,7 +214,13 @@ def held_out(key: str = "doc_id", parts: int = 3) -> Column:
 def keep_known(docs: DataFrame, model: Model, least: float = 0.2, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more and
     is explained better than by chance: the letter trigrams are on average likelier in the languages of
-    their words than one of ``FEATURES`` equally likely ones. Noise and unknown languages or scripts are not."""
+    their words than one of ``FEATURES`` equally likely ones. Noise and unknown languages or scripts are not.
+    Null texts and texts without letters go; an empty table stays empty. A model that learned no language
+    is an error: it cannot tell what to keep."""
+    if not model.languages:
+        if docs.isEmpty():
+            return docs
+        raise ValueError("no language was learned: the corpus has no labelled text")
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from .shared import bounded_batches
-from .textkit import IS_SPACE, Bytes, Hashes, byte_view, mix, pair_hash, per_row, portions, words
+from .textkit import IS_SPACE, Bytes, byte_view, mix, pair_hash, per_row, portions, range_hashes, words
 
 #: (bytes below, lowest ratio, highest ratio) of whole texts, by length; the first row that fits holds.
 WHOLE_BANDS = ((200, 0.40, 1.20), (400, 0.52, 0.90), (800, 0.515, 0.80), (1600, 0.478, 0.75), (3200, 0.454, 0.72), (6400, 0.428, 0.70), (12800, 0.41, 0.70), (25600, 0.395, 0.70), (51200, 0.38, 0.70), (float("inf"), 0.36, 0.70))
@@ -65,7 +65,7 @@ def counts(view: Bytes) -> dict[str, np.ndarray]:
     full = seen[ends] > seen[starts]
     starts, ends = starts[full], ends[full]
     owner = view.rows(starts)
-    lines = mix(Hashes(view.data).of(starts, ends) ^ mix(owner.astype(np.uint64)))
+    lines = mix(range_hashes(view.data, starts, ends) ^ mix(owner.astype(np.uint64)))
     _, first = np.unique(lines, return_index=True)
     out["n_dup_lines"] = per_row(owner, n) - per_row(owner[first], n)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_batches, equal, written
+from .shared import bounded_batches, fits, own_nodes, with_heavy, written
 from .textkit import Bytes, Words, byte_view, mix, pair_hash, portions, words
 
 #: Base, rate and largest exponent of the registers (two bytes each).
@@ -29,8 +29,6 @@ BANDS, ROWS = 36, 6
 ROUNDS, SMALL, CROWD, ELEMENTS = 2, 16, 32, 16384
 #: A pair is dropped unverified when its likelihood at the wanted similarity is so far (in nats) below the best; 12 nats are 4.9 standard deviations.
 DOUBT = 12.0
-#: Most ids that are broadcast (8 bytes each) to pick texts; beyond it they are joined.
-BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,13 +105,13 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least
     return good >= value.max(axis=1) - doubt
 
 
-def sketched(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(id, n, s, t, regs): set size, a 128-bit hash of the set (0 where empty) and the registers (null where empty)."""
+def sketched(nodes: DataFrame, k: int) -> DataFrame:
+    """nodes(id, node, text) as (id, node, n, s, t, regs): set size, a 128-bit hash of the set (0 where empty) and the registers (null where empty)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in portions(whole, "text"):
-                view = byte_view(batch.column(1))
+                view = byte_view(batch.column(2))
                 h, first = shingles(words(view), len(view), k)
                 n = np.diff(first)
                 some = np.flatnonzero(n)
@@ -124,9 +122,10 @@ def sketched(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                         sums[j, some] = np.add.reduceat(mix(h ^ np.uint64(salt)), first[some])
                     for i, r in zip(some, registers(h, first[some]), strict=True):
                         regs[i] = r.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(regs, pa.binary())], names=["id", "n", "s", "t", "regs"])
+                found = [pa.array(n.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in sums), pa.array(regs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["id", "node", "n", "s", "t", "regs"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sketch, "id long, n long, s long, t long, regs binary")
+    return nodes.select("id", "node", "text").mapInArrow(sketch, "id long, node long, n long, s long, t long, regs binary")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -161,12 +160,11 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(judged, "u long, v long")
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
-    """(id, n, members): the sorted shingles of the texts with the given ids; few ids are sent to the texts,
+def full_sets(ids: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(id, n, members): the sorted shingles of the texts with the given numbers; few are sent to the texts,
     many are joined."""
     ids = written(ids.select("id").distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    texts = nodes.select(F.col("node").alias("id"), "text").join(F.broadcast(ids) if fits(8 * ids.count()) else ids, "id", "left_semi")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -178,9 +176,9 @@ def full_sets(ids: DataFrame, docs: DataFrame, k: int, key: str, text: str) -> D
     return written(texts.mapInArrow(sets_of, "id long, n long, members binary"), "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
-    sets = full_sets(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))), docs, k, key, text)
+    sets = full_sets(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))), nodes, k)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,16 +222,20 @@ def spanning(own: list[dict], others: list[dict], percent: int) -> list[tuple[in
     return out
 
 
-def met_in_blocks(queries: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+def met_in_blocks(queries: DataFrame, members: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v) links between components: every text of queries(target, id, component) is held against every
     text of members(target, id, component) with its target. Each block of queries meets each block of members
-    once, in one row; no pair of texts is ever a row."""
-    sets = full_sets(members.select("id").unionAll(queries.select("id")), docs, k, key, text).dropDuplicates(["id"])
+    once, in one row; no pair of texts is ever a row. The blocks of a target are dealt over tasks by the
+    number of the query's block, so that no task holds a target.
+    """
+    sets = full_sets(members.select("id").unionAll(queries.select("id")), nodes, k)
 
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        parts = rows.join(sets.select("id", "n"), "id").groupBy("target").agg(F.ceil(F.sum("n") / ELEMENTS).alias("parts"))
-        dealt = rows.join(parts, "target").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts"))).join(sets, "id")
-        return dealt.groupBy("target", "block").agg(F.collect_list(F.struct("component", "members")).alias(name)).drop("block")
+    def blocks(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Lists of sets by (target, block), and the number of blocks of each target."""
+        sizes = rows.join(sets.select("id", "n"), "id").groupBy("target").agg(F.count(F.lit(1)).alias("texts"), F.ceil(F.sum("n") / ELEMENTS).cast("int").alias("parts"))
+        sizes = written(sizes, "block-sizes")
+        dealt = with_heavy(rows, sizes, ["target"], "texts", rows.count()).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).join(sets, "id")
+        return dealt.groupBy("target", "block").agg(F.collect_list(F.struct("component", "members")).alias(name)), sizes
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +243,11 @@ def met_in_blocks(queries: DataFrame, members: DataFrame, docs: DataFrame, k: in
                 links = spanning(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], names=["u", "v"])
 
-    return blocks(queries, "own").join(blocks(members, "others"), "target").select("own", "others").mapInArrow(met, "u long, v long").distinct()
+    own, sizes = blocks(queries, "own")
+    others, _ = blocks(members, "others")
+    others = written(others.drop("block"), "blocks").join(sizes.select("target", "parts"), "target")
+    sent = others.select("target", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "others")
+    return own.join(sent, ["target", "block"]).select("own", "others").mapInArrow(met, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,19 +256,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     Two documents are linked when their sets of k-word shingles (words lower-cased A-Z) have
     100 * intersection >= percent * union; component_id is the smallest key that links reach, and kept is
     true for it. Null, empty and wordless texts have no shingles and are linked with nothing. A null key
-    is linked with nothing and has component_id null and kept true. Rows that repeat a key are one node:
-    each gives a row, with the same component. An empty table gives no rows.
-
-    Equal sets are one class from the start, so copies never meet in pairs. In rounds, each bucket of a band
-    holds its classes against one of them, another in each round. Where a bucket then still has more than one
-    component, a few sets of small ones meet in pairs; many, and large components, meet in blocks. Pairs inside
-    a component are never rows.
+    is linked with nothing and has component_id null and kept true. Rows that repeat a key are one document:
+    each gives a row with its own n_shingles, a link of any of them is a link of all, and they share the
+    component. An empty table gives no rows.
+
+    Equal sets are one class, which stands for all its rows, so copies never meet. In rounds, each bucket of a
+    band holds its classes against one of them, another in each round. Where a bucket then still has more than
+    one component, a few sets of small ones meet in pairs; many, and large components, meet in blocks. Pairs
+    inside a component are never rows. Classes are verified, whatever the keys of their rows.
     """
     bounded_batches(docs.sparkSession)
-    table = written(sketched(docs, k, key, text), "sketches")
+    nodes = own_nodes(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id", "node")
+    table = written(sketched(nodes, k), "sketches")
     known = table.where("n > 0 AND id IS NOT NULL")
-    classes = written(known.groupBy("n", "s", "t").agg(F.min(F.struct("id", "regs")).alias("least")).select(F.col("least.id").alias("id"), "n", "s", "t", F.col("least.regs").alias("regs")), "classes")
-    single = classes.dropDuplicates(["id"]) if classes.count() != classes.select("id").distinct().count() else classes
+    same = ["n", "s", "t"]
+    least = F.min(F.struct("node", "regs")).alias("least")
+    single = known.groupBy(*same).agg(least, F.count(F.lit(1)).alias("rows"))
+    single = written(single.select(F.col("least.node").alias("id"), *same, "rows", F.col("least.regs").alias("regs")), "classes")
+    rows_known = known.count()
+    several = not known.where("node <> id").isEmpty()
+    placed = with_heavy(known.select("id", "node", *same), single.select(*same, "rows", F.col("id").alias("class")), same, "rows", rows_known).drop("rows")
 
     bands = written(proposed(single), "bands")
     # what a hot band or hub is joined with is written first: then both sides are plain exchanges, which are split
@@ -286,7 +299,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
         return written(components(links), "groups")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return confirmed(written(estimated(pairs, single, percent), "likely"), docs, k, percent, key, text)
+        return confirmed(written(estimated(pairs, single, percent), "likely"), nodes, k, percent)
 
     for r in range(ROUNDS):
         rows = mixed()
@@ -308,43 +321,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     queries = written(apart.unionAll(crowd), "queries")
     whole = groups.select(F.col("node").alias("id"), "component").unionAll(groups.select(F.col("component").alias("id"), "component").distinct())
     met = whole.join(apart.select(F.col("target.of").alias("component")).distinct(), "component").select(F.struct(F.lit("component").alias("kind"), F.col("component").alias("of")).alias("target"), "id", "component")
-    last = linked(across).unionAll(met_in_blocks(queries, written(met.unionAll(crowd), "members"), docs, k, percent, key, text))
-
-    copies = known.alias("k").join(classes.alias("c"), [equal(F.col(f"k.{x}"), F.col(f"c.{x}")) for x in ("n", "s", "t")]).where("k.id <> c.id").select(F.col("k.id").alias("u"), F.col("c.id").alias("v"))
-    groups = joined(last.unionAll(copies))
-    out = table.select("id", "n").alias("t").join(groups.alias("g"), F.col("t.id") == F.col("g.node"), "left")
-    component = F.coalesce("g.component", "t.id")
-    return out.select(F.col("t.id").alias(key), F.col("t.n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("t.id") == component, F.lit(True)).alias("kept"))
-
-
-def own_nodes(docs: DataFrame, key: str, node: str) -> DataFrame:
-    """``docs`` with a column ``node`` that no two rows share: the key, or for null keys and all but one row
-    of a repeated key a number above the keys (below them, where they end too high)."""
-    at = F.col(key).cast("long")
-    repeated = written(docs.groupBy(at.alias("__key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR __key IS NULL").select("__key"), "repeated")
-    several = repeated.count()
-    if not several:
-        return docs.withColumn(node, at)
-    keys = F.broadcast(repeated) if several <= BROADCAST_IDS else repeated
-    again = written(docs.join(keys, equal(at, F.col("__key")), "left_semi").withColumn("__row", F.monotonically_increasing_id()), "again")
-    first = again.where(at.isNotNull()).groupBy(at.alias("__key")).agg(F.min("__row").alias("__row")).select("__row", F.col("__key").alias(node))
-    low, high, most = (x or 0 for x in docs.agg(F.min(at), F.max(at)).first()[:2] + again.agg(F.max("__row")).first()[:1])
-    if high + most + 1 < 1 << 63:
-        number = F.lit(high + 1) + F.col("__row")
-    elif low - most - 1 >= -(1 << 63):
-        number = F.lit(low - 1) - F.col("__row")
-    else:
-        raise ValueError(f"{key} leaves no room for the rows that repeat it")
-    numbered = again.join(first, "__row", "left").withColumn(node, F.coalesce(F.col(node), number)).drop("__row")
-    return docs.join(keys, equal(at, F.col("__key")), "left_anti").withColumn(node, at).unionByName(numbered)
+    last = linked(across).unionAll(met_in_blocks(queries, written(met.unionAll(crowd), "members"), nodes, k, percent))
+
+    if several:  # the classes of a key's rows belong together
+        placed = written(placed, "placed")
+        spread = placed.groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+        last = last.unionAll(placed.join(spread, "id").select(F.col("class").alias("u"), F.col("lo").alias("v")))
+    groups = joined(last)
+    component = single.select(*same, "rows", "id").alias("c").join(groups.alias("g"), F.col("c.id") == F.col("g.node"), "left").select(*same, "rows", F.coalesce("component", "id").alias("component"))
+    found = with_heavy(known.select("id", *same), written(component, "components"), same, "rows", rows_known).select("id", "n", "component")
+    if several:  # numbers given to repeated rows are no keys
+        found = written(found, "found")
+        keys = found.groupBy("component").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("rows"))
+        found = with_heavy(found, keys, ["component"], "rows", rows_known).select("id", "n", F.col("smallest").alias("component"))
+    rest = table.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
+    out = found.unionByName(rest)
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are kept: one row of each group, with its smallest key.
 
-    Unlike in ``near_duplicates``, every row is a node: of rows that repeat a key and of rows with a null
+    Unlike in ``near_duplicates``, every row is a document: of rows that repeat a key and of rows with a null
     key, too, one of each group stays, and texts that are not alike all stay.
     """
     nodes = own_nodes(docs, key, "__node")
-    found = written(near_duplicates(nodes, k, percent, "__node", text).where(~F.col("kept")).select(F.col("__node").alias("__gone")).distinct(), "gone")
-    return nodes.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, F.col("__node") == F.col("__gone"), "left_anti").drop("__node")
+    groups = near_duplicates(nodes, k, percent, "__node", text)
+    gone = written(groups.where(~F.col("kept")).select(F.col("__node").alias("__gone")).distinct(), "gone")
+    return nodes.join(F.broadcast(gone) if fits(8 * gone.count()) else gone, F.col("__node") == F.col("__gone"), "left_anti").drop("__node")

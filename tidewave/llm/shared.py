@@ -25,10 +25,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share; where it is unset
-    (one machine, tests) a folder below the temporary one, set as the checkpoint folder."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share. Where it is unset, on one
+    machine (tests) a folder below the temporary one is set; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -40,11 +42,6 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
-def delete_now(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: later jobs survive the loss of any
     executor without running what came before. The table goes when the application ends."""
@@ -86,5 +83,50 @@ def gapless(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r.__start") + F.col("l.__i")).cast("long").alias(name))
 
 
+#: Bytes that are broadcast at most, as estimated from a count of rows.
+BROADCAST_BYTES = 48 << 20
+#: A key with over one in so many rows (and over LIGHT rows) is heavy: there can be no more than that.
+HEAVY_KEYS, LIGHT = 100_000, 1000
+
+
+def fits(size: int) -> bool:
+    """Whether so many bytes may be broadcast."""
+    return size <= BROADCAST_BYTES
+
+
+def with_heavy(left: DataFrame, right: DataFrame, keys: Sequence[str], weight: str, rows: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, whose keys are unique and which says in ``weight`` how many of the at
+    most ``rows`` rows of ``left`` a key has. Heavy keys, of which there are at most HEAVY_KEYS, are broadcast;
+    the others are shuffled, so that no key sends more than one in HEAVY_KEYS rows (or LIGHT) to one task."""
+    most = max(LIGHT, rows // HEAVY_KEYS)
+    heavy, light = right.where(F.col(weight) > most), right.where(F.col(weight) <= most)
+    if heavy.isEmpty():
+        return left.join(right, list(keys), how)
+    rest = left.join(F.broadcast(heavy.select(*keys)), list(keys), "left_anti")
+    return left.join(F.broadcast(heavy), list(keys)).unionByName(rest.join(light, list(keys), how))
+
+
+def own_nodes(docs: DataFrame, key: str, node: str) -> DataFrame:
+    """``docs`` with a column ``node`` that no two rows share: the key, or for null keys and all but one row
+    of a repeated key a number above the keys (below them, where they end too high)."""
+    at = F.col(key).cast("long")
+    repeated = written(docs.groupBy(at.alias("__key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR __key IS NULL").select("__key"), "repeated")
+    several = repeated.count()
+    if not several:
+        return docs.withColumn(node, at)
+    keys = F.broadcast(repeated) if fits(8 * several) else repeated
+    again = written(docs.join(keys, equal(at, F.col("__key")), "left_semi").withColumn("__row", F.monotonically_increasing_id()), "again")
+    first = again.where(at.isNotNull()).groupBy(at.alias("__key")).agg(F.min("__row").alias("__row")).select("__row", F.col("__key").alias(node))
+    low, high, most = (x or 0 for x in docs.agg(F.min(at), F.max(at)).first()[:2] + again.agg(F.max("__row")).first()[:1])
+    if high + most + 1 < 1 << 63:
+        number = F.lit(high + 1) + F.col("__row")
+    elif low - most - 1 >= -(1 << 63):
+        number = F.lit(low - 1) - F.col("__row")
+    else:
+        raise ValueError(f"{key} leaves no room for the rows that repeat it")
+    numbered = again.join(first, "__row", "left").withColumn(node, F.coalesce(F.col(node), number)).drop("__row")
+    return docs.join(keys, equal(at, F.col("__key")), "left_anti").withColumn(node, at).unionByName(numbered)
+
+
 def equal(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)

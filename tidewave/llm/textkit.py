@@ -14,11 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-#: Odd base of the polynomial hash and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(BASE, -1, 1 << 64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,26 +25,6 @@ _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
 
 
-#: Values of the bytes in a second hash.
-OTHER_VALUES = np.random.default_rng(77003).integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-
-
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand and kept by the worker."""
-
-    up = np.ones(1, U64)
-    down = np.ones(1, U64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            for name, base in (("up", BASE), ("down", _INVERSE)):
-                p = np.full(n, base, U64)
-                p[0] = 1
-                setattr(cls, name, np.multiply.accumulate(p))
-        return cls.up[:n], cls.down[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the splitmix64 finaliser)."""
     x = np.asarray(x, U64)
@@ -113,21 +91,43 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-class Hashes:
-    """Hashes of any ranges by prefix sums of a polynomial modulo 2**64; ``values`` may give each byte a
-    value of its own, for a second hash that fails independently."""
+#: Ranges of more bytes are hashed one by one, by XXH3.
+LONG = 256
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one little-endian number (zeros after the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), U64, padded, 0, (1,))
+
 
-    def __init__(self, data: np.ndarray, values: np.ndarray | None = None):
-        self.n = len(data)
-        up, self.down = _Powers.get(self.n + 1)
-        self.sums = np.zeros(self.n + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1) if values is None else values[data]) * up[: self.n], out=self.sums[1:])
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range: eight at a time into a state that is mixed every time,
+    so that it is no polynomial that equal factors could cancel."""
+    size = np.asarray(ends - starts, np.int64)
+    out = mix(size.astype(U64) * U64(0xD1342543DE82EF95) + U64(0x2545F4914F6CDD1D))
+    words = eights(data)
+    alive = np.flatnonzero((size > 0) & (size <= LONG))
+    at = 0
+    while len(alive):
+        left = size[alive] - at
+        out[alive] = mix(out[alive] ^ (words[starts[alive] + at] & _MASKS[np.minimum(left, 8)]))
+        alive = alive[left > 8]
+        at += 8
+    far = np.flatnonzero(size > LONG)
+    if len(far):
+        whole = memoryview(np.ascontiguousarray(data))
+        out[far] = [xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+    return out
 
-    def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return (self.sums[ends] - self.sums[starts]) * self.down[starts]
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix(self.raw(starts, ends) + (ends - starts).astype(U64) * U64(0xD1342543DE82EF95))
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit XXH3 of the bytes of each range."""
+    whole, one = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([one(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), U64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 @dataclass
@@ -152,7 +152,7 @@ def words(view: Bytes, lower: bool = True, within: np.ndarray | None = None) ->
     starts, ends = runs(~IS_SPACE[data] if within is None else within[data], view.offsets)
     first = np.searchsorted(starts, view.offsets)
     rows = np.repeat(np.arange(len(view)), np.diff(first))
-    return Words(starts, ends, rows, Hashes(data).of(starts, ends), first)
+    return Words(starts, ends, rows, range_hashes(data, starts, ends), first)
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +173,12 @@ class Letters:
     """Tables over code points: letter or not, lower case, script. Built once by each worker."""
 
     #: First and last code point of the scripts told apart.
-    SCRIPTS = (("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F), ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("tamil", 0xB80, 0xBFF), ("telugu", 0xC00, 0xC7F), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("han", 0xF900, 0xFAFF))
+    SCRIPTS = (
+        ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF),
+        ("arabic", 0x600, 0x77F), ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("tamil", 0xB80, 0xBFF), ("telugu", 0xC00, 0xC7F),
+        ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF),
+        ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF), ("han", 0xF900, 0xFAFF),
+    )
     NAMES = ("other", *dict.fromkeys(s[0] for s in SCRIPTS))
     SIZE = 0x20000
     _tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
@@ -201,7 +206,7 @@ class LetterWords:
     n: int
 
     def hashes(self) -> np.ndarray:
-        return Hashes(self.points).of(self.starts, self.ends)
+        return range_hashes(np.ascontiguousarray(self.points, np.uint32).view(np.uint8), 4 * self.starts, 4 * self.ends)
 
     def scripts(self) -> np.ndarray:
         """The script of each word's first letter."""
