@@ -178,6 +178,8 @@ def full_sets(ids: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
+    if pairs.isEmpty():
+        return pairs
     sets = full_sets(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))), nodes, k)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,6 +297,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
 
     def joined(links: DataFrame) -> DataFrame:
         if groups is not None:
+            links = written(links, "links")
+            if links.isEmpty():
+                return groups
             links = links.unionAll(groups.select(F.col("node").alias("u"), F.col("component").alias("v")))
         return written(components(links), "groups")
 
@@ -321,7 +326,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     queries = written(apart.unionAll(crowd), "queries")
     whole = groups.select(F.col("node").alias("id"), "component").unionAll(groups.select(F.col("component").alias("id"), "component").distinct())
     met = whole.join(apart.select(F.col("target.of").alias("component")).distinct(), "component").select(F.struct(F.lit("component").alias("kind"), F.col("component").alias("of")).alias("target"), "id", "component")
-    last = linked(across).unionAll(met_in_blocks(queries, written(met.unionAll(crowd), "members"), nodes, k, percent))
+    last = linked(across)
+    if not queries.isEmpty():
+        last = last.unionAll(met_in_blocks(queries, written(met.unionAll(crowd), "members"), nodes, k, percent))
 
     if several:  # the classes of a key's rows belong together
         placed = written(placed, "placed")
