@@ -15,7 +15,7 @@ from tidewave.llm.shared import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those whose language is all but a guess."""
+    """Drops texts without letters, those in no language learned and those whose language is all but a guess."""
     return langid.keep_known(docs, langid.train(docs))
 
 
@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes strings of 200 bytes that occur again out of the texts."""
+    """Takes strings of 200 bytes that occurred before out of the texts: the first of equal ones stays."""
     return suffix_dedup.without_repeats(docs)
 
 
@@ -39,7 +39,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.length_buckets(docs)
 
 
-STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontaminate", decontaminate), ("pack", pack)]
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
+]
 
 #: SQL has no language model, sketches or alignment; the tests hold the stages against brute force.
 ORACLE_SQL = None
