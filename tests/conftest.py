@@ -14,7 +14,8 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.codegen.wholeStage", "false").getOrCreate()  # compiling costs more than these tables
     )
     session.sparkContext.setLogLevel("ERROR")
     from tidewave.deploy import ship

@@ -68,6 +68,55 @@ def test_table_of_arrays(spark):
     assert [(r.name, r.row, r.value) for r in rows] == [("time", 0, 0.0), ("time", 1, 1.0), ("snr", 0, 10.0), ("snr", 1, None)]
 
 
+def cells(df, **more):
+    out = {}
+    for r in FI.array_table(df, "k", "data", "names", **more).orderBy("column", "row").collect():
+        out.setdefault(r.name, []).append(r.value)
+    return out
+
+
+def test_table_of_two_dimensional_variables(spark):
+    kind = "k int, data array<array<array<double>>>, names array<array<string>>, n string, rn array<string>"
+    by_rows, by_columns, odd = [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]], [[7.0, 8.0]]
+    df = spark.createDataFrame([(1, [by_rows, by_columns, odd], [["x", " ", "y"], ["x_y"], []], "3", ["a", "", "c"])], kind)
+    want = {"x_y_1": [1.0, 3.0, 5.0], "x_y_2": [2.0, 4.0, 6.0], "x_y_1_2": [1.0, 2.0, 3.0], "x_y_2_2": [4.0, 5.0, 6.0], "table_3": [7.0, 8.0, None]}
+    assert cells(df, rows="n") == want
+    assert cells(df) == want  # rows inferred from the longest variable
+    got = FI.array_table(df, "k", "data", "names", "n", "rn").where("column = 0").orderBy("row").collect()
+    assert [r.row_name for r in got] == ["a", "1", "c"]
+    two = FI.array_table(df.withColumn("rn", F.slice("rn", 1, 2)), "k", "data", "names", "n", "rn")
+    assert {r.row_name for r in two.collect()} == {None}
+
+
+def test_names_that_clash(spark):
+    names = spark.createDataFrame([(1, ["a", "a", "a_2", "a", "a_2"])], "k int, n array<string>")
+    assert names.select(V.unique_texts("n").alias("u")).first().u == ["a", "a_2", "a_2_2", "a_3", "a_2_3"]
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(["a", "a", "a_2"])] + [(2, 0, "a"), (None, 0, "a"), (None, 1, "a")], "t int, i int, n string")
+    got = [r.unique_name for r in N.unique_names(df, "n", "i", ["t"]).orderBy(F.col("t").asc_nulls_last(), "i").collect()]
+    assert got == ["a", "a_2", "a_2_2", "a", "a", "a_2"]
+    flat = spark.createDataFrame([(1, [[1.0], [2.0]], ["x y", "x_y"])], "k int, data array<array<double>>, names array<string>")
+    assert cells(flat) == {"x_y": [1.0], "x_y_2": [2.0]}
+
+
+def test_shape_decides_on_turning(spark):
+    few = spark.createDataFrame([(10, 1.0, 2.0, 3.0), (20, 4.0, 5.0, 6.0)], "k int, a double, b double, c double")
+    assert [tuple(r) for r in FI.by_shape(few, "k", ["a", "b", "c"]).orderBy("row").collect()] == [(0, 1.0, 4.0), (1, 2.0, 5.0), (2, 3.0, 6.0)]
+    assert FI.by_shape(few, "k", ["a", "b"]).columns == few.columns
+    with pytest.raises(ValueError, match="more than 8"):
+        FI.transposed(spark.range(9).select(F.col("id").alias("k"), F.lit(1.0).alias("a")), "k", ["a"])
+
+
+@pytest.mark.parametrize(("chars", "want"), [(["a", "b"], "ab"), (["ab", "c"], "ab"), ([], "")])
+def test_char_text(spark, chars, want):
+    assert spark.createDataFrame([(chars,)], "c array<string>").select(S.char_text(F.col("c")).alias("x")).first().x == want
+
+
+def test_empty_files_are_refused(spark):
+    files = spark.createDataFrame([("a", 3), ("b", 0)], "path string, size long")
+    assert FI.checked_size(files.where("size > 0")).count() == 1
+    with pytest.raises(Exception, match="empty file: b"):
+        FI.checked_size(files).collect()
+
 def test_largest_candidate():
     assert FI.largest([("a", 5, 0), ("b", 2, 3), ("c", 3, 2)]) == "b"
     with pytest.raises(ValueError):
@@ -91,20 +140,25 @@ def test_pair_faults(spark, names, status):
 
 
 def test_settings(tmp_path):
-    (tmp_path / "s.yaml").write_text("profile: quick\n")
+    (tmp_path / "s.yaml").write_text("profile: quick\nseed: 7\ncommon: {window_seconds: 6, epochs: 3}\npaths: {cache: here}\nprofiles: {quick: {steps: 9}, own: {channels: 4}}\n")
     got = settings.load(tmp_path / "s.yaml")
-    assert (got["profile"], got["epochs"]) == ("quick", 2)
-    assert settings.load(tmp_path / "absent.yaml")["profile"] == "cpu"
+    assert (got.profile, got.seed, got.window_seconds, got.cache, got.steps, got.frames_per_window) == ("quick", 7, 6.0, "here", 9, 4)
+    assert settings.load(tmp_path / "s.yaml", "own").channels == 4
+    assert settings.load(tmp_path / "absent.yaml").profile == "cpu"
+    assert settings.load(profile="auto", workers=64).frames_per_window == 12 and settings.load(profile="auto").profile == "cpu"
     for bad in ({"window_seconds": 0}, {"frames_per_window": 1}, {"channels": 257}):
         with pytest.raises(ValueError):
-            settings.checked({**got, **bad})
+            settings.Settings(**bad)
+    with pytest.raises(ValueError, match="unknown profile"):
+        settings.load(profile="none")
 
 
 def test_cache_computes_misses_only(spark, tmp_path):
     cache, asked = str(tmp_path / "cache"), []
 
     def compute(records):
-        asked.append(sorted(r.record_id for r in records.collect()))
+        if ids := sorted(r.record_id for r in records.collect()):
+            asked.append(ids)
         return records.select("record_id", "cache_key", F.explode(F.array(F.lit(0), F.lit(1))).alias("window_id"))
 
     a = spark.createDataFrame([("1", "x"), ("2", "y")], "record_id string, cache_key string")
@@ -112,12 +166,28 @@ def test_cache_computes_misses_only(spark, tmp_path):
     assert sinks.cached_windows(spark, cache, a, compute).count() == 4
     assert sinks.cached_windows(spark, cache, b, compute).count() == 4
     assert asked == [["1", "2"], ["3"]]
-    assert sinks.clean_cache(cache) and not sinks.clean_cache(cache)
+    # a rebuild of one record leaves the others, and the latest run counts
+    only = a.where("record_id = '1'")
+    assert sinks.cached_windows(spark, cache, only, lambda r: compute(r).where("window_id = 0"), rebuild=True).count() == 1
+    assert sinks.cached_windows(spark, cache, a, compute).count() == 3 and asked[2:] == [["1"]]
+    # a record without windows is a hit, too
+    none = spark.createDataFrame([("9", "n")], "record_id string, cache_key string")
+    for _ in range(2):
+        assert sinks.cached_windows(spark, cache, none, lambda r: compute(r).where("window_id < 0")).count() == 0
+    assert asked[3:] == [["9"]]
+    assert {r.record_id: r.windows for r in sinks.manifest(spark, cache).collect()} == {"1": 1, "2": 2, "3": 2, "9": 0}
+    assert sinks.clean_cache(cache, spark) and not sinks.clean_cache(cache)
 
 
 def test_json_refuses_nan(spark):
     with pytest.raises(Exception, match="NaN"):
         sinks.json_rows(spark.createDataFrame([(NAN,)], "x double")).collect()
+    nested = "m map<string,double>, s struct<a: array<double>, b: string>"
+    fine = spark.createDataFrame([({"p": 0.5}, ([1.0, None], "x")), (None, None)], nested)
+    assert sinks.json_rows(fine).count() == 2
+    for bad in (({"p": NAN}, None), (None, ([INF], "x"))):
+        with pytest.raises(Exception, match="NaN"):
+            sinks.json_rows(spark.createDataFrame([bad], nested)).collect()
 
 
 def test_file_hash(spark, tmp_path):
@@ -181,6 +251,36 @@ def test_even_choice_rounds_halves_to_even(spark):
         assert got == np.linspace(0, n - 1, 6).round().astype(int).tolist()
 
 
+def test_even_choice_of_one(spark):
+    rows = spark.range(5).select(F.lit("r").alias("record_id"), F.col("id").alias("seq"))
+    assert [(r.place, r.seq) for r in W.evenly_chosen(rows, 1, ["record_id"], "seq").collect()] == [(0, 0)]
+
+
+def test_nearest_takes_the_first_of_equals(spark):
+    rows = [("r", 0, 1.0), ("r", 1, 5.0), ("r", 2, 5.0), ("r", 3, 9.0), ("r", 4, None), ("s", 5, 3.0)]
+    s = spark.createDataFrame(rows, "record_id string, seq long, t double")
+    w = spark.createDataFrame([("r", 0, 6.5, 7.5), ("r", 1, 0.0, 2.0), ("r", 2, 20.0, 21.0), ("r", 3, 6.0, 6.4), ("s", 0, 0.0, 1.0), ("t", 0, 0.0, 1.0)], "record_id string, window_id int, w_start double, w_end double")
+    got = {(r.record_id, r.window_id): (r.seq, r.nearest) for r in W.inside_or_nearest(s, w, 1.0).collect()}
+    assert got == {("r", 0): (1, True), ("r", 1): (0, False), ("r", 2): (3, True), ("r", 3): (1, True), ("s", 0): (5, True)}
+
+
+def test_long_series_take_seconds(spark):
+    """A hundred thousand samples of one key: interpolation, nearest samples and alignment."""
+    import time
+
+    began = time.perf_counter()
+    s = spark.range(100_000).select(F.lit("r").alias("record_id"), F.col("id").alias("seq"), (F.col("id") / 2).alias("t"), F.sin(F.col("id") / 7 + F.sin(F.col("id") / 900)).alias("value"))
+    grid = spark.range(100_000).select(F.lit("r").alias("record_id"), F.col("id").alias("i"), (F.col("id") / 2 + 0.25).alias("x"))
+    r = R.interpolated(s, grid, ["record_id"]).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("m")).first()
+    assert r.n == 100_000 and 0.99 < r.m <= 1
+    w = spark.range(1000).select(F.lit("r").alias("record_id"), F.col("id").cast("int").alias("window_id"), (F.col("id") * 50 + 0.1).alias("w_start"), (F.col("id") * 50 + 0.2).alias("w_end"))
+    assert W.inside_or_nearest(s, w, 1.0).where("nearest AND seq = window_id * 100").count() == 1000
+    later = s.withColumn("t", F.col("t") + 3.0)
+    got = R.alignment(s, later, 45.0).first()
+    assert (got.status, got.offset) == ("ok", 3.0)
+    assert time.perf_counter() - began < 120
+
+
 def test_overlap_under_a_second_starts_over(spark):
     df = spark.createDataFrame([("a", 2.0, 10.0, 11.0), ("b", 9.5, 10.0, 10.0)], "record_id string, offset double, left_duration double, right_duration double")
     got = {r.record_id: (r.start, r.end) for r in W.overlap(df).collect()}
@@ -209,7 +309,7 @@ def test_features_of_nothing_are_null(spark):
 def test_spectra_agree(spark, n):
     x = np.sin(np.arange(n) * 1.1) + np.arange(n) * 0.1
     sql = ST.spectral_features(series(spark, x.tolist()), ["record_id"], 4.0).first()
-    fft = ST.spectral_features_fft(spark.createDataFrame([("r", x.tolist())], "record_id string, v array<double>"), "record_id", "v", 4.0).first()
+    fft = ST.spectral_features_fft(spark.createDataFrame([("r", x.tolist())], "record_id string, v array<double>"), ["record_id"], "v", 4.0).first()
     assert [sql[c] for c in sql.asDict()][1:] == pytest.approx([fft[c] for c in fft.asDict()][1:], abs=1e-9)
 
 
@@ -277,6 +377,9 @@ def test_folds(spark):
     assert how == "stratified_record_cv"
     sizes = {(r.label, r.fold): r["count"] for r in f.groupBy("label", "fold").count().collect()}
     assert len(sizes) == 8 and set(sizes.values()) <= {1, 2}
+    uneven = spark.createDataFrame([(f"{i:03d}", "A") for i in range(50)] + [("x", "B")], "record_id string, label string").repartition(7)
+    f, how = SEL.folds(uneven, 5, 1)
+    assert how == "partial_leave_one_record_out" and [(r.record_id, r.fold) for r in f.orderBy("fold").collect()] == [(f"{i:03d}", i) for i in range(50)]
 
 
 def test_weighted_draws_follow_weights(spark):
@@ -284,6 +387,10 @@ def test_weighted_draws_follow_weights(spark):
     n = {r.k: r["count"] for r in SEL.weighted_draws(items, "k", "w", 4000, 1).groupBy("k").count().collect()}
     assert sum(n.values()) == 4000 and 2 not in n
     assert [n[k] / 4000 for k in (0, 1, 3)] == pytest.approx([0.1, 0.3, 0.6], abs=0.03)
+    odd = spark.range(500).select("id", (F.rand(3) * 1e-3 + F.pow(F.lit(10.0), -(F.col("id") % 12))).alias("w"))
+    drawn = SEL.weighted_draws(odd, "id", "w", 5000, 2)
+    assert drawn.count() == drawn.select("draw").distinct().count() == 5000 and drawn.where("id IS NULL").count() == 0
+    assert SEL.weighted_draws(items.where("w < 0"), "k", "w", 10, 1).count() == 0
 
 
 def test_pooling_breaks_ties_by_class(spark):
@@ -292,6 +399,13 @@ def test_pooling_breaks_ties_by_class(spark):
     assert (got.prediction, got.confidence, got.windows, got.probabilities) == ("a", 0.5, 2, {"a": 0.5, "b": 0.5})
 
 
+def test_pooling_counts_windows_that_do_not_name_a_class(spark):
+    rows = [("r", 0, "a", 0.9), *[("r", i, "b", 0.4) for i in (1, 2, 3)], ("r", 1, "b", 0.4)]
+    got = M.pooled(spark.createDataFrame(rows, "record_id string, window_id int, class string, prob double")).first()
+    assert (got.prediction, got.windows) == ("b", 4)
+    assert got.probabilities == {"a": pytest.approx(0.9 / 2.1), "b": pytest.approx(1.2 / 2.1)}
+
+
 def test_metrics_without_predictions_of_a_class(spark):
     p = spark.createDataFrame([("a", "a"), ("b", "a"), ("b", "c")], "label string, prediction string")
     r = {x["class"]: x for x in M.class_report(p).collect()}
@@ -307,6 +421,15 @@ def test_inspection_names_faults(spark):
     assert INS.status(items).first().status == "error"
 
 
+def test_sessions(spark):
+    from tidewave.streaming.windows import sessions
+
+    at = lambda who, *minutes: [(who, f"2024-01-01 10:{m:02d}:00") for m in minutes]
+    e = spark.createDataFrame([*at("a", 0, 4, 20), *at("b", 1)], "who string, at string").withColumn("ts", F.to_timestamp("at"))
+    got = sorted((r.record_id, r.s_start.minute, r.n) for r in sessions(e, "who", "ts", "10 minutes").collect())
+    assert got == [("a", 0, 2), ("a", 20, 1), ("b", 1, 1)]
+
+
 def test_streaming_windows(spark, tmp_path):
     from tidewave.streaming.windows import window_stats
 

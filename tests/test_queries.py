@@ -26,15 +26,6 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
-def test_window_tensors_of_all_records(spark, duck):
-    """The SQL without its filter on record_id: every record has rows, and channels are chosen over all."""
-    sql = catalog.oracle_sql()["window_tensors"].replace(" WHERE record_id < '2'", "")
-    want = duck.execute(f"SELECT record_id, window_id, channel, i, z FROM ({sql})").fetchall()
-    found = catalog.queries()["window_tensors"](spark, SF).select("record_id", "window_id", "channel", "i", "z").collect()
-    assert sorted(tuple(map(normal, r)) for r in found) == sorted(tuple(map(normal, r)) for r in want)
-    assert {r.record_id for r in found} == {r[0] for r in duck.execute("SELECT CAST(user_id AS VARCHAR) FROM events GROUP BY user_id HAVING max(ts) > min(ts)").fetchall()}
-
-
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
 

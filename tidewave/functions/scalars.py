@@ -58,9 +58,9 @@ def derived_length(frames: Column, rate: Column, duration: Column) -> Column:
 
 
 def char_text(chars: Column) -> Column:
-    """An array of strings as a text: joined if all have one character at most, else joined by spaces."""
+    """An array of strings as a text: joined if all have one character at most, else the first."""
     short = F.forall(chars, lambda c: F.length(c) <= 1)
-    return F.when(short, F.array_join(chars, "")).otherwise(F.array_join(chars, " "))
+    return F.when(short, F.array_join(chars, "")).otherwise(F.get(chars, F.lit(0)))
 
 
 def magnitude(real: Column, imaginary: Column) -> Column:

@@ -14,6 +14,17 @@ def fit_length(array: Column, n: Column | int) -> Column:
     return F.when(F.size(array) >= n, F.slice(array, 1, n)).otherwise(F.concat(array, F.array_repeat(F.lit(None), n - F.size(array))))
 
 
+def unique_texts(names: Column, first: int = 2) -> Column:
+    """An array of names in which a name that is taken gets the first free one of ``_2``, ``_3``, ..."""
+
+    def add(used: Column, name: Column) -> Column:
+        more = F.transform(F.sequence(F.lit(first), F.size(used) + first), lambda k: F.concat(name, F.lit("_"), k.cast("string")))
+        free = F.get(F.filter(more, lambda c: ~F.array_contains(used, c)), F.lit(0))
+        return F.concat(used, F.array(F.when(F.array_contains(used, name), free).otherwise(name)))
+
+    return F.aggregate(names, F.array().cast("array<string>"), add)
+
+
 def summaries(vector: Column) -> Column:
     """mean, std (population), max and energy (mean of squares) of the finite magnitudes; null if none."""
     size = F.filter(F.transform(vector, lambda x: F.abs(finite(x))), lambda x: x.isNotNull())

@@ -18,12 +18,21 @@ def aligned_probabilities(scores: DataFrame, classes: DataFrame, key: str = "rec
 
 def pooled(window_scores: DataFrame) -> DataFrame:
     """window_scores(record_id, window_id, class, prob) -> a row for each record: prediction (the first class
-    among equals), confidence, probabilities as a map, and windows."""
-    means = window_scores.groupBy("record_id", "class").agg(F.avg("prob").alias("p"), F.countDistinct("window_id").alias("w"))
-    p = F.col("p") / F.greatest(F.sum("p").over(Window.partitionBy("record_id")), F.lit(1e-12))
-    rows = means.withColumn("p", p)
+    among equals), confidence, probabilities as a map, and windows.
+
+    A class's mean is over all windows of the record: where a window does not name it, it is 0 there. Rows
+    that repeat a window and class count as their mean.
+    """
+    own = window_scores.groupBy("record_id", "window_id", "class").agg(F.avg("prob").alias("p"))
+    windows = own.groupBy("record_id", "window_id").agg(F.sum("p").alias("all")).groupBy("record_id").agg(F.count(F.lit(1)).alias("windows"), F.sum("all").alias("all"))
+    sums = own.groupBy("record_id", "class").agg(F.sum("p").alias("p")).join(windows, "record_id")
+    # the mean over the windows, by the sum of the classes' means
+    p = F.col("p") / F.col("windows") / F.greatest(F.col("all") / F.col("windows"), F.lit(1e-12))
+    rows = sums.withColumn("p", p)
     top = F.min_by(F.struct("class", "p"), F.struct(-F.round("p", 12), F.col("class")))
-    return rows.groupBy("record_id").agg(top.alias("top"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", "p")))).alias("probabilities"), F.max("w").alias("windows")).select("record_id", F.col("top.class").alias("prediction"), F.col("top.p").alias("confidence"), "probabilities", "windows")
+    probabilities = F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", "p"))))  # a row for each class
+    found = rows.groupBy("record_id").agg(top.alias("top"), probabilities.alias("probabilities"), F.max("windows").alias("windows"))
+    return found.select("record_id", F.col("top.class").alias("prediction"), F.col("top.p").alias("confidence"), "probabilities", "windows")
 
 
 def confusion(predictions: DataFrame, classes: DataFrame) -> DataFrame:

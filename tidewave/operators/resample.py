@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +14,20 @@ def interpolated(samples: DataFrame, grid: DataFrame, keys: Sequence[str], value
     """grid(keys, i, x) with the value of each series at x: on the line between the samples around it, and
     the first or last value outside. Series with under two values are 0 throughout.
 
-    Samples and grid points are united and ordered once by key: no range join.
+    Samples and grid points are united and go by in order, once up and once down, each carrying the last
+    sample seen: no range join, and steps in proportion to the points.
     """
     ok = samples.where(F.col(value).isNotNull() & F.col("t").isNotNull())
     first = F.row_number().over(Window.partitionBy(*keys, "t").orderBy(order))
     points = ok.withColumn("__k", first).where("__k = 1").select(*keys, F.col("t").alias("x"), F.lit(0).alias("__grid"), F.col(value).alias("__v"), F.lit(None).cast("long").alias("i"))
     asked = grid.select(*keys, "x", F.lit(1).alias("__grid"), F.lit(None).cast("double").alias("__v"), F.col("i").cast("long").alias("i"))
     series = Window.partitionBy(*keys)
-    w = series.orderBy("x", "__grid")
+    up, down = series.orderBy("x", "__grid"), series.orderBy(F.desc("x"), F.desc("__grid"))
+    seen = (Window.unboundedPreceding, Window.currentRow)
     pair = F.when(F.col("__grid") == 0, F.struct(F.col("x").alias("t"), F.col("__v").alias("v")))
     around = points.unionByName(asked).withColumns({
-        "__a": F.last(pair, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "__b": F.first(pair, True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        "__a": F.last(pair, True).over(up.rowsBetween(*seen)),
+        "__b": F.last(pair, True).over(down.rowsBetween(*seen)),
         "__n": F.count("__v").over(series),
     })
     a, b = F.col("__a"), F.col("__b")
@@ -56,6 +60,37 @@ def window_series(samples: DataFrame, windows: DataFrame, channels: DataFrame, s
     return found.select("record_id", F.floor(F.col("i") / steps).cast("int").alias("window_id"), "channel", F.pmod("i", F.lit(steps)).cast("int").alias("i"), "value")
 
 
+#: Points of the left side in a block.
+BLOCK = 4096
+
+
+def lagged_products(left: DataFrame, right: DataFrame, lags: int) -> DataFrame:
+    """(record_id, lag, n, c): of left(record_id, i, a, n) and right(record_id, i, b), for each block of left
+    points and each lag from -lags to lags, the sum of a at i times b at i + lag. Null values add nothing."""
+    size = max(BLOCK, 4 * lags)
+    block = lambda i: F.floor(i / size).cast("long")
+    own = left.where("a IS NOT NULL").groupBy("record_id", block(F.col("i")).alias("block")).agg(F.max("n").alias("n"), F.collect_list(F.struct("i", F.col("a").alias("v"))).alias("own"))
+    near = F.explode(F.sequence(block(F.col("i") - lags), block(F.col("i") + lags))).alias("block")
+    others = right.where("b IS NOT NULL").select("record_id", near, "i", F.col("b").alias("v")).groupBy("record_id", "block").agg(F.collect_list(F.struct("i", "v")).alias("others"))
+
+    def dense(points: pa.ListScalar, first: int, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        out[points.values.field("i").to_numpy() - first] = points.values.field("v").to_numpy()
+        return out
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lag = pa.array(np.arange(-lags, lags + 1))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                first = batch.column(1)[i].as_py() * size
+                c = np.correlate(dense(batch.column(4)[i], first - lags, size + 2 * lags), dense(batch.column(3)[i], first, size), "valid")
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(lag)), lag, pa.repeat(batch.column(2)[i], len(lag)), pa.array(c)], names=["record_id", "lag", "n", "c"])
+
+    kind = left.schema["record_id"].dataType.simpleString()
+    both = own.join(others, ["record_id", "block"]).select("record_id", "block", "n", "own", "others")
+    return both.mapInArrow(summed, f"record_id {kind}, lag long, n long, c double")
+
+
 STATUSES = ("insufficient_activity", "insufficient_duration", "flat_activity", "ok")
 
 
@@ -67,7 +102,8 @@ def alignment(left: DataFrame, right: DataFrame, max_lag: float, rate: float = 2
     smallest of equals); positive: the right one is later. Score: the sum by the points in common, within
     [-1, 1]. Under four samples, a duration up to ``least_duration`` or a flat series: offset and score 0.
 
-    Lags are an equi-join on the shifted point, linear in points times lags.
+    The sums go by blocks of points: a block of the left side meets the right side's points within the
+    longest lag of it, in one Arrow row, and gives its part of every lag's sum.
     """
     step = 1.0 / rate
     lags = round(max_lag * rate)
@@ -86,8 +122,7 @@ def alignment(left: DataFrame, right: DataFrame, max_lag: float, rate: float = 2
         return flat.withColumns({"sd": F.stddev_pop("y").over(w), "n": F.count(F.lit(1)).over(w)}).select("record_id", "i", F.when(F.col("sd") >= 1e-8, F.col("y") / F.col("sd")).alias(name), *(["n"] if name == "a" else []))
 
     a, b = standard(left, "a"), standard(right, "b")
-    shifted = b.withColumn("lag", F.explode(F.sequence(F.lit(-lags).cast("long"), F.lit(lags).cast("long")))).select("record_id", "lag", (F.col("i") - F.col("lag")).alias("i"), "b")
-    sums = a.join(shifted, ["record_id", "i"]).groupBy("record_id", "lag", "n").agg(F.sum(F.col("a") * F.col("b")).alias("c"))
+    sums = lagged_products(a, b, lags).groupBy("record_id", "lag").agg(F.max("n").alias("n"), F.sum("c").alias("c")).where(F.abs("lag") < F.col("n"))
     best = sums.groupBy("record_id").agg(F.max(F.struct(F.round("c", 9).alias("c"), (-F.col("lag")).alias("neg"), F.col("n"))).alias("top"))
     score = F.col("top.c") / F.greatest(F.lit(1), F.col("top.n") - F.abs(F.col("top.neg")))
     found = sizes.join(best, "record_id", "left")

@@ -7,16 +7,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import clean_name
+from .normalize import activity
+from .windows import coverage, inside_or_nearest
+
 STATS = ("mean", "std", "min", "max", "median", "q10", "q90", "iqr", "rms", "diff_std", "diff_abs_max")
 
 
-def series_features(rows: DataFrame, keys: Sequence[str], value: str = "value", order: str = "seq", carry: Sequence[str] = ()) -> DataFrame:
+def series_features(rows: DataFrame, keys: Sequence[str], value: str = "value", order: str = "seq", carry: Sequence[str] = (), vector: str | None = None) -> DataFrame:
     """Eleven statistics of each group's values that are not null, and their number ``n``; steps are
     between such values, 0 if there is one only; all are null if there is none. ``carry``: columns that
-    are the same throughout a group.
+    are the same throughout a group. ``vector``: a name for the values themselves, in order, as an array.
 
     One exchange by ``keys``: the lag and all aggregates, with one percentile call, share it.
     """
@@ -24,14 +28,21 @@ def series_features(rows: DataFrame, keys: Sequence[str], value: str = "value",
     before = F.expr(f"lag(`{value}`) IGNORE NULLS OVER (PARTITION BY {by} ORDER BY `{order}`)")
     steps = rows.withColumn("__d", F.col(value) - before)
     v = F.col(value)
+    listed = [in_order(v, order)] if vector else []
     found = steps.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.percentile(v, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("__q"), F.sqrt(F.avg(v * v)).alias("rms"),
-        F.stddev_pop("__d").alias("__ds"), F.max(F.abs(F.col("__d"))).alias("__dm"), *[F.first(c).alias(c) for c in carry],
+        F.stddev_pop("__d").alias("__ds"), F.max(F.abs(F.col("__d"))).alias("__dm"), *[F.first(c).alias(c) for c in carry], *[c.alias(vector) for c in listed],
     )
     q = F.col("__q")
     zero = lambda c: F.when(F.col("n") > 0, F.coalesce(F.col(c), F.lit(0.0)))
-    return found.select(*keys, *carry, "n_rows", "n", "mean", "std", "min", "max", q[2].alias("median"), q[0].alias("q10"), q[4].alias("q90"), (q[3] - q[1]).alias("iqr"), "rms", zero("__ds").alias("diff_std"), zero("__dm").alias("diff_abs_max"))
+    return found.select(*keys, *carry, *([vector] if vector else []), "n_rows", "n", "mean", "std", "min", "max", q[2].alias("median"), q[0].alias("q10"), q[4].alias("q90"), (q[3] - q[1]).alias("iqr"), "rms", zero("__ds").alias("diff_std"), zero("__dm").alias("diff_abs_max"))
+
+
+def in_order(value: Column, order: str) -> Column:
+    """The values of a group that are not null, in order, as an array."""
+    points = F.collect_list(F.when(value.isNotNull(), F.struct(F.col(order).alias("o"), value.cast("double").alias("v"))))
+    return F.transform(F.array_sort(points), lambda p: p["v"])
 
 
 def wide(features: DataFrame, keys: Sequence[str], channels: Sequence[str], stats: Sequence[str] = STATS) -> DataFrame:
@@ -41,76 +52,77 @@ def wide(features: DataFrame, keys: Sequence[str], channels: Sequence[str], stat
     return features.groupBy(*keys).agg(*picked)
 
 
-def detrended(rows: DataFrame, keys: Sequence[str], value: str = "value", order: str = "seq") -> DataFrame:
-    """Values less their least-squares line over ordinals ``i`` (0, 1, ...), with the series' length ``m``."""
-    w = Window.partitionBy(*keys)
-    numbered = rows.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(order)) - 1)
-    mean_i, mean_v = F.avg("i").over(w), F.avg(value).over(w)
-    cov, var = F.covar_pop("i", value).over(w), F.var_pop("i").over(w)
-    slope = F.coalesce(F.try_divide(cov, F.nullif(var, F.lit(0.0))), F.lit(0.0))
-    return numbered.withColumns({"m": F.count(F.lit(1)).over(w), "x": F.col(value) - (mean_v + slope * (F.col("i") - mean_i))})
-
-
-def spectrum(rows: DataFrame, keys: Sequence[str], rate: float, value: str = "value", order: str = "seq") -> DataFrame:
-    """(keys, m, k, frequency, power): one-sided periodogram of the detrended series, without the constant.
-
-    A discrete Fourier sum over (sample, frequency) pairs, meant for the short series of a window; longer
-    ones go through ``spectral_features_fft``.
-    """
-    line = detrended(rows, keys, value, order)
-    pairs = line.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("m") / 2).cast("int"))))).where("m >= 2")
-    angle = F.lit(2 * math.pi) * F.pmod(F.col("k") * F.col("i"), F.col("m")) / F.col("m")
-    sums = pairs.groupBy(*keys, "m", "k").agg(F.sum(F.col("x") * F.cos(angle)).alias("c"), F.sum(F.col("x") * F.sin(angle)).alias("s"))
-    double = F.when(F.col("k") * 2 == F.col("m"), 1.0).otherwise(2.0)
-    return sums.select(*keys, "m", "k", (F.col("k") * F.lit(rate) / F.col("m")).alias("frequency"), (double * (F.col("c") * F.col("c") + F.col("s") * F.col("s")) / (F.lit(rate) * F.col("m"))).alias("power"))
-
-
-def spectral_features(rows: DataFrame, keys: Sequence[str], rate: float, bins: int = 8, value: str = "value", order: str = "seq") -> DataFrame:
+def spectral_features(rows: DataFrame, keys: Sequence[str], rate: float | str, bins: int = 8, value: str = "value", order: str = "seq") -> DataFrame:
     """Spectral entropy (by the logarithm of the number of frequencies), dominant frequency (the lowest of
-    equals) and the power's shares in ``bins`` equal bands [lo, hi) up to half the rate.
+    equals) and the power's shares in ``bins`` equal bands [lo, hi) up to half the rate, of each group's values
+    that are not null, less their line. ``rate``: a number, or a column that is the same throughout a group.
 
-    Under four values: null; without power: entropy and frequency 0 and bands null.
+    Under four values, or without a rate: null; without power: entropy and frequency 0 and bands null. A
+    group's values are one array, transformed by FFT.
     """
-    power = spectrum(rows, keys, rate, value, order)
-    total = F.sum("power").over(Window.partitionBy(*keys))
-    shares = power.withColumn("total", total).withColumn("p", F.try_divide(F.col("power"), F.nullif(F.col("total"), F.lit(0.0))))
-    width = max(rate / 2, 1e-9) / bins
-    band = lambda b: F.sum(F.when((F.col("frequency") >= b * width) & (F.col("frequency") < (b + 1) * width), F.col("power")).otherwise(0.0))
-    found = shares.groupBy(*keys).agg(
-        F.first("m").alias("m"), F.first("total").alias("total"), F.count(F.lit(1)).alias("nk"), F.sum(F.col("p") * F.ln(F.col("p") + 1e-12)).alias("plogp"),
-        F.max(F.struct(F.col("power"), (-F.col("k")).alias("nk"), F.col("frequency"))).alias("top"), *[band(b).alias(f"__b{b}") for b in range(bins)],
-    )
-    enough, some = F.col("m") >= 4, F.col("total") > 0
-    return found.select(
-        *keys, F.when(enough, F.when(some, -F.col("plogp") / F.ln(F.col("nk"))).otherwise(0.0)).alias("spectral_entropy"), F.when(enough, F.when(some, F.col("top.frequency")).otherwise(0.0)).alias("dominant_hz"),
-        *[F.when(enough & some, F.col(f"__b{b}") / (F.col("total") + 1e-12)).alias(f"band_{b}") for b in range(bins)],
-    )
-
-
-def spectral_features_fft(series: DataFrame, key: str, vector: str, rate: float, bins: int = 8) -> DataFrame:
-    """The same for whole series in an array column, by a fast Fourier transform in Arrow batches."""
+    hz = F.first(rate) if isinstance(rate, str) else F.lit(float(rate))
+    series = rows.groupBy(*keys).agg(in_order(F.col(value), order).alias("__v"), hz.cast("double").alias("__rate"))
+    return spectral_features_fft(series, keys, "__v", "__rate", bins)
+
+
+def one_spectrum(x: np.ndarray, rate: float, bins: int) -> list[float | None]:
+    """Entropy, dominant frequency and bands of one series."""
+    x = x[np.isfinite(x)]
+    m = len(x)
+    if m < 4 or not rate or rate <= 0:
+        return [None] * (bins + 2)
+    i = np.arange(m) - (m - 1) / 2
+    x = x - x.mean()
+    x = x - i * ((i @ x) / (i @ i))
+    p = np.abs(np.fft.rfft(x)) ** 2 / (rate * m)
+    p[1 : (m + 1) // 2] *= 2
+    p, f = p[1:], np.fft.rfftfreq(m, 1 / rate)[1:]
+    if p.sum() <= 0:
+        return [0.0, 0.0, *[None] * bins]
+    q = p / p.sum()
+    edges = np.linspace(0, max(rate / 2, 1e-9), bins + 1)
+    bands = [float(p[(f >= a) & (f < b)].sum() / (p.sum() + 1e-12)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return [float(-(q * np.log(q + 1e-12)).sum() / math.log(len(q))), float(f[int(np.argmax(p))]), *bands]
+
+
+def spectral_features_fft(series: DataFrame, keys: Sequence[str], vector: str, rate: float | str, bins: int = 8) -> DataFrame:
+    """The same for series that are an array column, in Arrow batches."""
     names = ["spectral_entropy", "dominant_hz", *[f"band_{b}" for b in range(bins)]]
-    kind = series.schema[key].dataType.simpleString()
+    k = len(keys)
 
     def transformed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [one(np.array([x for x in v or [] if x is not None], float)) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(names)))], names=[key, *names])
-
-    def one(x: np.ndarray) -> list[float | None]:
-        x = x[np.isfinite(x)]
-        m = len(x)
-        if m < 4 or rate <= 0:
-            return [None] * len(names)
-        i = np.arange(m)
-        x = x - np.polyval(np.polyfit(i, x, 1), i)
-        p = np.abs(np.fft.rfft(x)) ** 2 / (rate * m)
-        p[1 : (m + 1) // 2] *= 2
-        p, f = p[1:], np.fft.rfftfreq(m, 1 / rate)[1:]
-        if p.sum() <= 0:
-            return [0.0, 0.0, *[None] * bins]
-        q = p / p.sum()
-        edges = np.linspace(0, max(rate / 2, 1e-9), bins + 1)
-        return [float(-(q * np.log(q + 1e-12)).sum() / math.log(len(q))), float(f[int(np.argmax(p))]), *(float(p[(f >= a) & (f < b)].sum() / (p.sum() + 1e-12)) for a, b in zip(edges[:-1], edges[1:], strict=True))]
-
-    return series.select(key, vector).mapInArrow(transformed, f"`{key}` {kind}, " + ", ".join(f"{n} double" for n in names))
+            vectors, rates = batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()
+            rows = [one_spectrum(np.array([x for x in v or [] if x is not None], float), hz, bins) for v, hz in zip(vectors, rates, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(names)))], names=[*keys, *names])
+
+    hz = F.col(rate) if isinstance(rate, str) else F.lit(float(rate))
+    types = ", ".join(f"`{c}` {series.schema[c].dataType.simpleString()}" for c in keys)
+    return series.select(*keys, vector, hz.cast("double").alias("__hz")).mapInArrow(transformed, f"{types}, " + ", ".join(f"{n} double" for n in names))
+
+
+def window_feature_rows(samples: DataFrame, windows: DataFrame, rates: DataFrame, width: float, bins: int = 8) -> DataFrame:
+    """All features of each window: a row for each channel (series ``col__<name>``) and for the activity of the
+    rows (``activity``), with the eleven statistics and the spectrum at the record's own rate, and what the
+    window's rows are: their number, its duration, the share of cells with a value, and the coverage.
+
+    samples(record_id, seq, t, channel, value), windows(record_id, window_id, w_start, w_end) and
+    rates(record_id, rate_hz). A window without a row has the one nearest to its middle; a channel without
+    a value in the window has null statistics. A row's cells travel as one array, bounded by the channels; one
+    aggregation gives statistics and series, which the transform takes as they are.
+    """
+    keys = ["record_id", "window_id"]
+    name = F.concat(F.lit("col__"), clean_name(F.col("channel")))
+    cells = samples.groupBy("record_id", "seq").agg(F.collect_list(F.struct(name.alias("series"), F.col("value"))).alias("cells"))
+    rows = activity(samples).join(cells, ["record_id", "seq"]).join(rates.select("record_id", "rate_hz"), "record_id")
+    every = F.concat("cells", F.array(F.struct(F.lit("activity").alias("series"), F.col("activity").alias("value"))))
+    held = inside_or_nearest(rows.select("record_id", "seq", "t", "rate_hz", every.alias("cells")), windows, width)
+    series = held.select(*keys, "w_start", "w_end", "rate_hz", "seq", F.inline("cells"))
+    found = series_features(series, [*keys, "series"], carry=["w_start", "w_end", "rate_hz"], vector="__v")
+    w = Window.partitionBy(*keys)  # a row for each channel
+    moving, n_rows = F.col("series") == "activity", F.max(F.when(F.col("series") == "activity", F.col("n_rows"))).over(w)
+    valid = F.sum(F.when(~moving, F.col("n"))).over(w) / F.sum(F.when(~moving, F.col("n_rows"))).over(w)
+    duration = F.greatest(F.lit(0.0), F.col("w_end") - F.col("w_start"))
+    full = found.withColumns({"rows": n_rows, "valid_ratio": valid, "duration": duration, "coverage": coverage(n_rows, F.col("w_start"), F.col("w_end"), F.col("rate_hz"))})
+    kept = [*keys, "series", "rows", "duration", "valid_ratio", "coverage", "n", *STATS]
+    return spectral_features_fft(full, kept, "__v", "rate_hz", bins)

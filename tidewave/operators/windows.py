@@ -46,24 +46,35 @@ def inside(samples: DataFrame, windows: DataFrame, width: float) -> DataFrame:
 def inside_or_nearest(samples: DataFrame, windows: DataFrame, width: float) -> DataFrame:
     """``inside``, and for a window without a sample the one nearest to its middle (the first of equals).
 
-    Only empty windows meet all samples of their record, and each keeps one by a minimum, combined before
-    the shuffle.
+    The middles of empty windows and the samples of their records go by in order, once up and once down, each
+    middle taking the last sample seen: steps in proportion to samples and windows.
     """
     found = inside(samples, windows, width)
     empty = windows.join(found.select("record_id", "window_id").distinct(), ["record_id", "window_id"], "left_anti")
-    middle = (F.col("w_start") + F.col("w_end")) / 2
     columns = [c for c in samples.columns if c != "record_id"]
-    near = samples.join(empty, "record_id").groupBy("record_id", "window_id", "w_start", "w_end").agg(F.min_by(F.struct(*columns), F.struct(F.abs(F.col("t") - middle), F.col("seq"))).alias("__s"))
-    nearest = near.select("record_id", *[F.col("__s")[c].alias(c) for c in columns], "window_id", "w_start", "w_end")
+    sample, window = F.struct(*columns), F.struct("window_id", "w_start", "w_end")
+    points = samples.where("t IS NOT NULL").select("record_id", F.col("t").alias("x"), "seq", sample.alias("__s"), F.lit(None).cast(empty.select(window.alias("w")).schema["w"].dataType).alias("__w"))
+    middles = empty.select("record_id", ((F.col("w_start") + F.col("w_end")) / 2).alias("x"), F.lit(None).cast(samples.schema["seq"].dataType).alias("seq"), F.lit(None).cast(points.schema["__s"].dataType).alias("__s"), window.alias("__w"))
+    asked = F.col("__w").isNotNull()
+    up = Window.partitionBy("record_id").orderBy("x", asked, F.desc("seq"))
+    down = Window.partitionBy("record_id").orderBy(F.desc("x"), asked, F.desc("seq"))
+    seen = (Window.unboundedPreceding, Window.currentRow)
+    passed = points.unionByName(middles).withColumns({"__a": F.last("__s", True).over(up.rowsBetween(*seen)), "__b": F.last("__s", True).over(down.rowsBetween(*seen))})
+    a, b = F.col("__a"), F.col("__b")
+    far_a, far_b = F.col("x") - a["t"], b["t"] - F.col("x")
+    first = b.isNull() | (far_a < far_b) | ((far_a == far_b) & (a["seq"] <= b["seq"]))
+    near = passed.where(asked & (a.isNotNull() | b.isNotNull())).withColumn("__n", F.when(first & a.isNotNull(), a).otherwise(b))
+    nearest = near.select("record_id", *[F.col("__n")[c].alias(c) for c in columns], "__w.window_id", "__w.w_start", "__w.w_end")
     return found.select(nearest.columns).withColumn("nearest", F.lit(False)).unionByName(nearest.withColumn("nearest", F.lit(True)))
 
 
 def evenly_chosen(rows: DataFrame, count: int, keys: Sequence[str], order: str) -> DataFrame:
     """``count`` rows of each group, evenly from first to last (halves to even), repeated where there are
-    fewer: place 0 .. count - 1 in column ``place``."""
+    fewer: place 0 .. count - 1 in column ``place``. A count of one takes the first."""
     numbered = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    wanted = sizes.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.struct(j.alias("place"), F.rint(j * (F.col("__n") - 1) / (count - 1)).cast("int").alias("__i")))).alias("__w"))
+    at = lambda j: F.struct(j.alias("place"), F.rint(j * (F.col("__n") - 1) / max(1, count - 1)).cast("int").alias("__i"))
+    wanted = sizes.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), at)).alias("__w"))
     return wanted.select(*keys, "__w.place", "__w.__i").join(numbered, [*keys, "__i"]).drop("__i")
 
 

@@ -23,8 +23,10 @@ from ..operators import timeaxis as T
 from ..operators import windows as W
 from ..sources import files as FI
 from ..sources import sinks as SK
+from ..sources.settings import Settings
 from ..streaming import windows as STW
 from . import oracles
+from . import pipeline as P
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = 86400.0
@@ -80,10 +82,26 @@ def record_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FI.pair_report(parsed_file_names(spark, sf_dir))
 
 
+@query
+def checked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with their sizes; an empty one would raise."""
+    sizes = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") + 1).alias("size"))
+    return FI.checked_size(sizes.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), "size"))
+
+
 @query
 def clean_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", S.clean_name(F.regexp_extract("url", "://([^/]*)", 1)).alias("name"))
-    return N.unique_names(pages, "name", "page_id")
+    """Hosts as the column names of tables of sixteen pages, every fifth as if it had a suffix already."""
+    host = S.clean_name(F.regexp_extract("url", "://([^/]*)", 1))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.floor(F.col("page_id") / 16).alias("table_id"), F.when(F.col("page_id") % 5 == 4, F.concat(host, F.lit("_2"))).otherwise(host).alias("name"))
+    return N.unique_names(pages, "name", "page_id", ["table_id"])
+
+
+@query
+def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of cached results, by files, settings and channels."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("record_id"), F.col("url").alias("left_path"), F.octet_length("html").alias("left_size"), F.lit(1).alias("left_modified"), F.lit("r").alias("right_path"), F.col("page_id").alias("right_size"), F.lit(2).alias("right_modified"))
+    return P.keyed(pages, Settings(), ["a", "b"]).select("record_id", "cache_key")
 
 
 @query
@@ -110,16 +128,22 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def array_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as a variable of eight rows and columns, a part of it turned, and a list too short; names clash."""
     emb = table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL")
     v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = emb.select("vec_id", F.array(F.slice(v, 1, 6), F.slice(v, 7, 3)).alias("data"), F.array(F.lit("a b"), F.lit("__")).alias("names"), F.lit(5).alias("nrows"))
+    square = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(v, r * 8 + 1, 8))
+    short = F.transform(F.slice(v, 1, 5), lambda x: F.array(x))
+    data = F.array(square, F.slice(square, 1, 2), short)
+    rows = emb.select("vec_id", data.alias("data"), F.array(F.lit("a b"), F.lit("a_b"), F.lit("a_b_1")).alias("names"), F.lit("8").alias("nrows"))
     return rounded(FI.array_table(rows, "vec_id", "data", "names", "nrows"))
 
 
 @query
 def transposed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation").where("n_nationkey < 8")
-    return FI.transposed(nation.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").cast("double").alias("a"), (F.col("n_nationkey") * 2.0).alias("b")), "k", ["a", "b"])
+    """Five rows of six columns: the shape says that they are columns."""
+    k = F.col("r_regionkey").cast("double")
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), *[(k * i).alias(f"c{i}") for i in range(1, 6)], F.length("r_name").cast("double").alias("c6"))
+    return FI.by_shape(region, "k", [f"c{i}" for i in range(1, 7)])
 
 
 # vectors and columns
@@ -133,8 +157,8 @@ def vector_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vector_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emb = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 8).alias("v"))
-    return rounded(V.expanded(emb, "v", 8))
+    emb = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return rounded(V.expanded(emb, "v", 64))
 
 
 @query
@@ -218,10 +242,34 @@ def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.withColumn("coverage", coverage).drop("w_start", "w_end"))
 
 
+@query
+def window_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of each window, each record at its own rate; windows of six hours, many of them empty."""
+    s = samples(spark, sf_dir)
+    w = W.hopping(spans(s), DAY / 4, DAY / 4, 40)
+    return rounded(ST.window_feature_rows(s, w, T.record_meta(s), DAY / 4), 5)
+
+
+@query
+def recorded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records built from a wide table: clock, rate, duration and share of values."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), "event_id", F.col("ts").alias("event_time"), "value", F.when(F.col("event_id") % 4 != 0, F.col("value") * 2).alias("other"))
+    _, moving, meta = P.sequences(e, "user", "event_id")
+    top = moving.groupBy("record_id").agg(F.count(F.lit(1)).alias("rows"), F.max("activity").alias("most"))
+    return rounded(meta.join(top, "record_id"), 4)
+
+
+@query
+def cached_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest run of each cached result, from a manifest in which some were made again."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("record_id"), F.col("o_orderstatus").alias("cache_key"), F.col("o_orderkey").alias("at"), F.concat(F.lit("run"), F.col("o_orderkey").cast("string")).alias("run"), (F.col("o_orderkey") % 5).alias("windows"))
+    return SK.latest(o)
+
+
 @query
 def nearest_for_empty_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six-hour windows, many of them empty."""
-    s = samples(spark, sf_dir).where("channel = 'click'")
+    s = samples(spark, sf_dir)
     w = W.hopping(spans(s), DAY / 4, DAY / 4, 200)
     found = W.inside_or_nearest(s, w, DAY / 4)
     return rounded(found.groupBy("record_id", "window_id").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.bool_or("nearest").alias("nearest"), F.avg("value").alias("mean")))
@@ -251,7 +299,7 @@ def vector_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def vector_spectra_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return rounded(ST.spectral_features_fft(emb, "vec_id", "v", 8.0), 5)
+    return rounded(ST.spectral_features_fft(emb, ["vec_id"], "v", 8.0), 5)
 
 
 # grids and alignment
@@ -331,7 +379,7 @@ def record_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def left_out_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = table(spark, sf_dir, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("record_id"), F.when(F.col("r_regionkey") < 2, "A").otherwise("B").alias("label"))
+    few = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("record_id"), F.when(F.col("r_regionkey") < 4, "A").otherwise("B").alias("label"))
     return SEL.folds(few, 5, 2026)[0]
 
 
@@ -382,9 +430,12 @@ def classification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def aligned_log_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = window_scores(spark, sf_dir).groupBy("record_id", "class").agg(F.avg("prob").alias("prob")).where("class <> 'error'")
+    """Classes dealt to records as their labels, some of which a record has no score for."""
+    s = window_scores(spark, sf_dir).groupBy("record_id", "class").agg(F.avg("prob").alias("prob"))
     classes = table(spark, sf_dir, "events").select(F.col("event_type").alias("class")).distinct()
-    truth = window_scores(spark, sf_dir).groupBy("record_id").agg(F.min("class").alias("label"))
+    names = classes.agg(F.array_sort(F.collect_list("class")).alias("names"))  # one row
+    records = window_scores(spark, sf_dir).select("record_id").distinct().crossJoin(F.broadcast(names))
+    truth = records.select("record_id", F.get("names", F.pmod("record_id", F.size("names")).cast("int")).alias("label"))
     return rounded(M.log_loss(truth, M.aligned_probabilities(s, classes)))
 
 
@@ -423,9 +474,9 @@ def result_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def class_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes seen in one part of the records only."""
-    r = labelled(spark, sf_dir)
-    a, b = r.where("record_id % 50 < 3").select("label").distinct(), r.where("record_id % 50 > 45").select("label").distinct()
+    """Classes of dear parts that cheap ones do not have, and the other way round."""
+    r = table(spark, sf_dir, "part").select(F.concat_ws("#", "p_brand", F.col("p_size").cast("string")).alias("label"), (F.col("p_retailprice") > 1200).alias("dear"))
+    a, b = r.where("dear").select("label").distinct(), r.where("NOT dear").select("label").distinct()
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+from ..functions.scalars import config_hash
+from ..sources.settings import Settings
+
 DAY = 86400.0
 
 SAMPLES = """samples AS (SELECT CAST(user_id AS VARCHAR) AS record_id, event_id AS seq,
@@ -108,24 +111,55 @@ q AS (SELECT *, sum(power) OVER (PARTITION BY vec_id) AS total, count(*) OVER (P
 SELECT vec_id, {r("-sum(power / total * ln(power / total + 1e-12)) / ln(any_value(nk))", "spectral_entropy", 5)}, {r("arg_max(hz, power)", "dominant_hz", 5)},
   {", ".join(r(f"sum(CASE WHEN hz >= {b * 0.5} AND hz < {(b + 1) * 0.5} THEN power ELSE 0 END) / (any_value(total) + 1e-12)", f"band_{b}", 5) for b in range(8))} FROM q GROUP BY vec_id"""
 
+FEATURE_ROWS = f"""WITH {SAMPLES}, {SPANS}, {windows(DAY / 4, DAY / 4, 40)},
+dt AS (SELECT record_id, t - lag(t) OVER (PARTITION BY record_id ORDER BY seq) AS d FROM samples), clock AS (SELECT record_id, coalesce(1 / median(d) FILTER (d > 0), 1) AS hz FROM dt GROUP BY record_id),
+filled AS (SELECT * FROM samples), {robust('filled', 'record_id, channel', 1e-8, True, None)},
+moves AS (SELECT record_id, seq, coalesce(z - lag(z) OVER (PARTITION BY record_id, channel ORDER BY seq), 0) AS d FROM scaled),
+act AS (SELECT record_id, seq, sqrt(avg(d * d)) AS activity FROM moves GROUP BY record_id, seq),
+held AS (SELECT record_id, window_id, seq, w_start, w_end FROM samples JOIN windows USING (record_id) WHERE w_start <= t AND t < w_end),
+bare AS (SELECT * FROM windows w WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.record_id = w.record_id AND h.window_id = w.window_id)),
+near AS (SELECT record_id, window_id, seq, w_start, w_end, row_number() OVER (PARTITION BY record_id, window_id ORDER BY abs(t - (w_start + w_end) / 2), seq) AS k FROM bare JOIN samples USING (record_id)),
+chosen AS (SELECT * FROM held UNION ALL SELECT record_id, window_id, seq, w_start, w_end FROM near WHERE k = 1),
+lines AS (SELECT record_id, window_id, 'col__' || channel AS series, seq, value FROM chosen JOIN samples USING (record_id, seq) UNION ALL SELECT record_id, window_id, 'activity', seq, activity FROM chosen JOIN act USING (record_id, seq)),
+{stats('lines', 'record_id, window_id, series')},
+e AS (SELECT record_id, window_id, series, row_number() OVER w - 1 AS i, value AS v, count(*) OVER (PARTITION BY record_id, window_id, series) AS m FROM lines WHERE value IS NOT NULL WINDOW w AS (PARTITION BY record_id, window_id, series ORDER BY seq)),
+flat AS (SELECT record_id, window_id, series, i, m, v - (avg(v) OVER w + covar_pop(i, v) OVER w / nullif(var_pop(i) OVER w, 0) * (i - avg(i) OVER w)) AS x FROM e WHERE m >= 4 WINDOW w AS (PARTITION BY record_id, window_id, series)),
+f AS (SELECT record_id, window_id, series, m, k, sum(x * cos(2 * {math.pi!r} * ((k * i) % m) / m)) AS c, sum(x * sin(2 * {math.pi!r} * ((k * i) % m) / m)) AS s FROM (SELECT *, unnest(generate_series(1, m // 2)) AS k FROM flat) GROUP BY ALL),
+p AS (SELECT *, k * hz / m AS freq, (CASE WHEN 2 * k = m THEN 1 ELSE 2 END) * (c * c + s * s) / (hz * m) AS power FROM f JOIN clock USING (record_id)),
+q AS (SELECT *, sum(power) OVER w AS total, count(*) OVER w AS nk FROM p WINDOW w AS (PARTITION BY record_id, window_id, series)),
+spectra AS (SELECT record_id, window_id, series, -sum(power / total * ln(power / total + 1e-12)) / ln(any_value(nk)) AS spectral_entropy, arg_max(freq, power) AS dominant_hz,
+  {", ".join(f"sum(CASE WHEN freq >= {b} * hz / 16 AND freq < {b + 1} * hz / 16 THEN power ELSE 0 END) / (any_value(total) + 1e-12) AS band_{b}" for b in range(8))} FROM q GROUP BY record_id, window_id, series),
+facts AS (SELECT record_id, window_id, count(*) AS rows, any_value(w_end - w_start) AS duration FROM chosen GROUP BY record_id, window_id),
+valid AS (SELECT record_id, window_id, count(value) / count(*) AS valid_ratio FROM chosen JOIN samples USING (record_id, seq) GROUP BY record_id, window_id)
+SELECT record_id, window_id, series, n, {", ".join(r(c, c, 5) for c in ("mean", "std", "min", "max", "median", "q10", "q90", "iqr", "rms", "diff_std", "diff_abs_max", "spectral_entropy", "dominant_hz", *(f"band_{b}" for b in range(8)), "duration", "valid_ratio"))}, rows,
+  {r("least(1, rows / greatest(1, duration * hz))", "coverage", 5)} FROM features LEFT JOIN spectra USING (record_id, window_id, series) JOIN facts USING (record_id, window_id) JOIN valid USING (record_id, window_id) JOIN clock USING (record_id)"""
+
 SQL: dict[str, str] = {
     "parsed_file_names": f"WITH {FILES} SELECT path, kind, record_id, label, start_time FROM parsed",
     "record_pairs": f"""WITH {FILES}, g AS (SELECT record_id, count(*) FILTER (kind = 'radar') AS nl, count(*) FILTER (kind = 'ir') AS nr, min(label) AS label, max(label) AS other,
   min(path) FILTER (kind = 'radar') AS left_path, min(path) FILTER (kind = 'ir') AS right_path, min(start_time) AS start_time FROM parsed GROUP BY record_id)
 SELECT record_id, label, left_path, right_path, start_time, CASE WHEN nl > 1 OR nr > 1 THEN 'duplicate' WHEN label <> other THEN 'label_conflict' WHEN nr = 0 THEN 'left_only' WHEN nl = 0 THEN 'right_only' ELSE 'ok' END AS status FROM g""",
-    "clean_unique_names": r"""WITH n AS (SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_extract(url, '://([^/]*)', 1), '[^0-9A-Za-z_\x{4e00}-\x{9fff}]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unnamed') AS name FROM pages)
-SELECT page_id, name, CASE WHEN k = 1 THEN name ELSE name || '_' || CAST(k AS VARCHAR) END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY page_id) AS k FROM n)""",
+    "clean_unique_names": r"""WITH RECURSIVE h AS (SELECT page_id, url, coalesce(nullif(regexp_replace(regexp_replace(regexp_extract(url, '://([^/]*)', 1), '[^0-9A-Za-z_\x{4e00}-\x{9fff}]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unnamed') AS host FROM pages),
+n AS MATERIALIZED (SELECT page_id, page_id // 16 AS table_id, CASE WHEN page_id % 5 = 4 THEN host || '_2' ELSE host END AS name, row_number() OVER (PARTITION BY page_id // 16 ORDER BY page_id) AS i FROM h),
+r(table_id, i, used) AS (SELECT DISTINCT table_id, 0::BIGINT, []::VARCHAR[] FROM n
+ UNION ALL SELECT r.table_id, n.i, list_append(r.used, CASE WHEN list_contains(r.used, n.name) THEN list_filter(list_transform(range(2, len(r.used) + 3), lambda k: n.name || '_' || CAST(k AS VARCHAR)), lambda x: NOT list_contains(r.used, x))[1] ELSE n.name END) FROM r JOIN n ON n.table_id = r.table_id AND n.i = r.i + 1)
+SELECT page_id, n.table_id, name, r.used[n.i] AS unique_name FROM n JOIN r ON r.table_id = n.table_id AND r.i = n.i""",
+    "checked_files": "SELECT '/in/' || CAST(doc_id AS VARCHAR) AS path, n_chars + 1 AS size FROM documents",
+    "record_keys": f"""SELECT CAST(page_id AS VARCHAR) AS record_id, substr(sha256('{{"record_id":"' || CAST(page_id AS VARCHAR) || '","left":"' || substr(sha256(url || '|' || CAST(strlen(html) AS VARCHAR) || '|1'), 1, 16)
+  || '","right":"' || substr(sha256('r|' || CAST(page_id AS VARCHAR) || '|2'), 1, 16) || '","settings":"{config_hash(Settings().computed_with())}","schema":"a,b","version":3}}'), 1, 20) AS cache_key FROM pages""",
     "lenient_numbers": f"""WITH t AS (SELECT p_partkey, p_size, CASE p_partkey % 5 WHEN 0 THEN p_brand WHEN 1 THEN CAST(p_size AS VARCHAR) || '/' || CAST(p_partkey % 4 AS VARCHAR) WHEN 2 THEN 'N/A' ELSE CAST(p_size AS VARCHAR) END AS text FROM part)
 SELECT p_partkey, {r("CASE WHEN p_partkey % 5 = 1 THEN CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_size / (p_partkey % 4) END WHEN p_partkey % 5 IN (0, 2) THEN 0 ELSE p_size END", "ratio")},
   CASE WHEN p_partkey % 5 IN (3, 4) THEN CAST(p_size AS BIGINT) ELSE 0 END AS whole, {r("CASE WHEN p_partkey % 5 IN (3, 4) THEN CAST(p_size AS DOUBLE) ELSE 0 END", "number")} FROM t""",
     "derived_lengths": f"""WITH t AS (SELECT l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey ELSE 0 END AS f, l_quantity AS q, CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE l_extendedprice END AS d FROM lineitem)
 SELECT l_linenumber, CAST(sum(coalesce(nullif(f, 0), CAST(round_even(nullif(d, 0) * q, 0) AS BIGINT), 0)) AS BIGINT) AS frames, {r("sum(round(coalesce(nullif(d, 0), nullif(f, 0) / nullif(q, 0), 0), 3))", "duration", 2)} FROM t GROUP BY l_linenumber""",
     "fingerprints": """SELECT page_id, substr(sha256(url || '|' || CAST(strlen(html) AS VARCHAR) || '|' || CAST(page_id AS VARCHAR)), 1, 16) AS fingerprint, substr(sha256(url || ':3'), 1, 20) AS cache_key, sha256(html) AS sha256 FROM pages""",
-    "array_table_cells": f"""WITH a AS (SELECT vec_id, c, CASE c WHEN 0 THEN 'a_b' ELSE 'unnamed' END AS name, unnest(range(5)) AS rw, embedding FROM embeddings, range(2) t(c))
-SELECT vec_id, CAST(c AS INTEGER) AS "column", name, CAST(rw AS INTEGER) AS "row", {r('CAST(CASE WHEN c = 0 THEN embedding[rw + 1] WHEN rw < 3 THEN embedding[rw + 7] END AS DOUBLE)', 'value')} FROM a""",
-    "transposed_rows": "SELECT CAST(c AS INTEGER) AS \"row\", " + ", ".join(f"max(CASE WHEN n_nationkey = {k} THEN CASE WHEN c = 0 THEN CAST(n_regionkey AS DOUBLE) ELSE n_nationkey * 2e0 END END) AS signal_{k}" for k in range(8)) + " FROM nation, range(2) t(c) WHERE n_nationkey < 8 GROUP BY c",
+    "array_table_cells": f"""WITH r AS (SELECT vec_id, embedding, unnest(range(8)) AS rw FROM embeddings),
+c AS (SELECT vec_id, embedding, rw, unnest(range(11)) AS c FROM r)
+SELECT vec_id, CAST(c AS INTEGER) AS "column", CASE WHEN c < 8 THEN 'a_b_' || CAST(c + 1 AS VARCHAR) WHEN c < 10 THEN 'a_b_' || CAST(c - 7 AS VARCHAR) || '_2' ELSE 'a_b_1_3' END AS name, CAST(rw AS INTEGER) AS "row",
+  {r('CAST(CASE WHEN c < 8 THEN embedding[rw * 8 + c + 1] WHEN c < 10 THEN embedding[(c - 8) * 8 + rw + 1] WHEN rw < 5 THEN embedding[rw + 1] END AS DOUBLE)', 'value')} FROM c""",
+    "transposed_rows": "SELECT CAST(c - 1 AS INTEGER) AS \"row\", " + ", ".join(f"max(CASE WHEN r_regionkey = {k} THEN CASE WHEN c = 6 THEN CAST(length(r_name) AS DOUBLE) ELSE r_regionkey * CAST(c AS DOUBLE) END END) AS signal_{k}" for k in range(5)) + " FROM region, range(1, 7) t(c) GROUP BY c",
     "vector_summaries": f"WITH {SUMMARY_OF} SELECT vec_id, {r('list_avg(a)', 'mean')}, {r('list_stddev_pop(a)', 'std')}, {r('list_max(a)', 'max')}, {r('list_avg(list_transform(a, lambda x: x * x))', 'energy')} FROM aggregates",
-    "vector_columns": "SELECT vec_id, " + ", ".join(r(f"abs(CAST(embedding[{i}] AS DOUBLE))", f"v_{i}") for i in range(1, 9)) + " FROM embeddings",
+    "vector_columns": "SELECT vec_id, " + ", ".join(r(f"abs(CAST(embedding[{i}] AS DOUBLE))", f"v_{i}") for i in range(1, 65)) + " FROM embeddings",
     "column_profiles": " UNION ALL ".join(f"SELECT '{c}' AS channel, count(*) AS n_rows, count({x}) AS n_finite, {r(f'count({x}) / count(*)', 'valid_ratio')} FROM lineitem" for c, x in (("l_quantity", "l_quantity"), ("l_extendedprice", "l_extendedprice"), ("l_gap", "CASE WHEN l_linenumber > 2 THEN l_tax END"))),
     "numeric_frames": f"""SELECT event_id, {r('epoch_us(ts) / 1e6', 'ts')}, {r('sqrt(value * value + (value * 0.75) * (value * 0.75))', 'z_abs')}, {r('value', 'z_real')}, {r('value * 0.75', 'z_imag')},
   {r('CASE WHEN event_id % 3 = 0 THEN value END', 'z_abs_1')}, {r('CASE WHEN user_id % 2 = 0 THEN 1e0 ELSE 0e0 END', 'even')} FROM events""",
@@ -152,7 +186,7 @@ SELECT record_id, n_rows, n_missing, channels, {r('least', 'least', 4)}, {r('gre
     "hopping_windows": f"{BASE} SELECT record_id, window_id, {r('w_start', 'w_start', 4)}, {r('w_end', 'w_end', 4)} FROM windows",
     "window_features": f"""{BASE}, j AS (SELECT record_id, window_id, channel, seq, value, w_start, w_end FROM samples JOIN windows USING (record_id) WHERE w_start <= t AND t < w_end), {stats('j', 'record_id, window_id, channel, w_start, w_end')}
 SELECT record_id, window_id, channel, n_rows, n, {", ".join(r(c, c) for c in ("mean", "std", "min", "max", "median", "q10", "q90", "iqr", "rms", "diff_std", "diff_abs_max"))}, {r(f'least(1, n_rows / greatest(1, (w_end - w_start) / {DAY}))', 'coverage')} FROM features""",
-    "nearest_for_empty_windows": f"""WITH all_{SAMPLES}, samples AS (SELECT * FROM all_samples WHERE channel = 'click'), {SPANS}, {windows(DAY / 4, DAY / 4, 200)},
+    "nearest_for_empty_windows": f"""WITH {SAMPLES}, {SPANS}, {windows(DAY / 4, DAY / 4, 200)},
 j AS (SELECT record_id, window_id, seq, value FROM samples JOIN windows USING (record_id) WHERE w_start <= t AND t < w_end),
 e AS (SELECT * FROM windows w WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.record_id = w.record_id AND j.window_id = w.window_id)),
 k AS (SELECT record_id, window_id, seq, value, row_number() OVER (PARTITION BY record_id, window_id ORDER BY abs(t - (w_start + w_end) / 2), seq) AS k FROM e JOIN samples USING (record_id)),
@@ -169,7 +203,7 @@ SELECT record_id, seq, channel FROM u WHERE k = 1 QUALIFY row_number() OVER (PAR
     "daily_grid": f"""WITH {SAMPLES}, ends AS (SELECT record_id, channel, max(t) AS e FROM samples GROUP BY ALL),
 grid AS (SELECT record_id, channel, i, i * {DAY} AS x FROM (SELECT record_id, channel, unnest(generate_series(0, CAST(ceil(e / {DAY}) AS BIGINT) - 1)) AS i FROM ends WHERE e > 0)), {interpolated('samples', 'grid', ['record_id', 'channel'])}
 SELECT record_id, channel, i, {r('v', 'value')} FROM lines""",
-    "window_tensors": f"""WITH all_{SAMPLES}, samples AS (SELECT * FROM all_samples WHERE record_id < '2'), {SPANS}, {windows(2 * DAY, DAY, 240)}, {CHOICE},
+    "window_tensors": f"""WITH {SAMPLES}, {SPANS}, {windows(2 * DAY, DAY, 240)}, {CHOICE},
 grid AS (SELECT record_id, window_id, channel, i, w_start + i * (w_end - w_start) / 16 AS x FROM windows, (SELECT channel FROM chosen WHERE rank <= 3), range(16) t(i)), {interpolated('samples', 'grid', ['record_id', 'channel'])},
 flat AS (SELECT record_id, window_id, channel, i, v AS value FROM lines), {robust('flat', 'record_id, window_id, channel', 1e-6, False, 8.0)}
 SELECT record_id, window_id, channel, CAST(i AS INTEGER) AS i, {r('z', 'z', 5)} FROM scaled""",
@@ -186,12 +220,13 @@ SELECT label, n, {r('(SELECT count(*) FROM records) / ((SELECT count(*) FROM n)
     "window_sample_weights": f"""WITH {LABELLED}, refs AS (SELECT record_id, label, windows, unnest(range(windows)) AS window_id FROM records WHERE windows > 0), c AS (SELECT label, count(DISTINCT record_id) AS k FROM refs GROUP BY label)
 SELECT record_id, CAST(window_id AS INTEGER) AS window_id, label, {r('1e0 / windows / k', 'weight', 9)} FROM refs JOIN c USING (label)""",
     "record_folds": f"""WITH {LABELLED} SELECT record_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('2026:' || CAST(record_id AS VARCHAR)), record_id) - 1) % least(5, (SELECT min(n) FROM (SELECT count(*) AS n FROM records GROUP BY label))) AS INTEGER) AS fold FROM records""",
-    "left_out_folds": "SELECT CAST(r_regionkey AS INTEGER) AS record_id, 'A' AS label, CAST(r_regionkey AS INTEGER) AS fold FROM region WHERE r_regionkey < 2",
+    "left_out_folds": "SELECT CAST(r_regionkey AS INTEGER) AS record_id, 'A' AS label, CAST(r_regionkey AS INTEGER) AS fold FROM region WHERE r_regionkey < 4",
     "weighted_drawing": """WITH items AS (SELECT s_suppkey, CAST(greatest(0, floor(s_acctbal)) AS DOUBLE) AS w, CAST(floor(('0x' || substr(md5('part:' || CAST(s_suppkey AS VARCHAR)), 1, 8))::BIGINT / 4294967296e0 * 64) AS INTEGER) AS part FROM supplier),
 sums AS (SELECT s_suppkey, sum(w) OVER (ORDER BY part, s_suppkey) AS hi, w, sum(w) OVER () AS total FROM items WHERE w > 0),
 draws AS (SELECT id, ('0x' || substr(md5('7:' || CAST(id AS VARCHAR)), 1, 8))::BIGINT / 4294967296e0 AS u FROM range(500) t(id))
 SELECT id AS draw, s_suppkey FROM draws JOIN sums ON u * total >= hi - w AND u * total < hi""",
-    "pooled_scores": f"""WITH {SCORES}, a AS (SELECT record_id, class, avg(prob) AS p, count(DISTINCT window_id) AS w FROM scores GROUP BY ALL), b AS (SELECT *, p / greatest(sum(p) OVER (PARTITION BY record_id), 1e-12) AS q FROM a)
+    "pooled_scores": f"""WITH {SCORES}, o AS (SELECT record_id, window_id, class, avg(prob) AS p FROM scores GROUP BY ALL), k AS (SELECT record_id, count(DISTINCT window_id) AS w FROM scores GROUP BY record_id),
+a AS (SELECT record_id, class, sum(p) / any_value(w) AS p, any_value(w) AS w FROM o JOIN k USING (record_id) GROUP BY ALL), b AS (SELECT *, p / greatest(sum(p) OVER (PARTITION BY record_id), 1e-12) AS q FROM a)
 SELECT record_id, (array_agg(class ORDER BY round(q, 12) DESC, class))[1] AS prediction, {r('max(q)', 'confidence')}, {r("max(q) FILTER (class = 'click')", 'p_click')}, max(w) AS windows FROM b GROUP BY record_id""",
     "confusion_matrix": f"""WITH {PREDICTIONS}, k AS (SELECT label AS class FROM p UNION SELECT prediction FROM p)
 SELECT a.class AS label, b.class AS prediction, (SELECT count(*) FROM p WHERE p.label = a.class AND p.prediction = b.class) AS n FROM k a, k b""",
@@ -200,8 +235,8 @@ UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)
 UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) FROM m)
 SELECT class, {r('precision', 'precision')}, {r('recall', 'recall')}, {r('f1', 'f1')}, CAST(support AS BIGINT) AS support FROM t""",
     "classification_summary": f"""WITH {PER_CLASS} SELECT {r('sum(tp) / sum(support)', 'accuracy')}, {r('avg(recall) FILTER (support > 0)', 'balanced_accuracy')}, {r('avg(f1)', 'macro_f1')}, {r('sum(f1 * support) / sum(support)', 'weighted_f1')} FROM m""",
-    "aligned_log_loss": f"""WITH {SCORES}, a AS (SELECT record_id, class, avg(prob) AS p FROM scores WHERE class <> 'error' GROUP BY ALL), b AS (SELECT *, p / greatest(sum(p) OVER (PARTITION BY record_id), 1e-12) AS q FROM a),
-t AS (SELECT record_id, min(class) AS label FROM scores GROUP BY 1)
+    "aligned_log_loss": f"""WITH {SCORES}, a AS (SELECT record_id, class, avg(prob) AS p FROM scores GROUP BY ALL), b AS (SELECT *, p / greatest(sum(p) OVER (PARTITION BY record_id), 1e-12) AS q FROM a),
+names AS (SELECT list_sort(list(DISTINCT class)) AS names FROM scores), t AS (SELECT DISTINCT record_id, names[record_id % len(names) + 1] AS label FROM scores, names)
 SELECT {r('-avg(ln(greatest(2.220446049250313e-16, least(1 - 2.220446049250313e-16, coalesce(q, 0)))))', 'log_loss')}, count(*) AS n FROM t LEFT JOIN b ON b.record_id = t.record_id AND b.class = t.label""",
     "evaluation_validity": f"""WITH {LABELLED}, g AS (SELECT label, count(*) AS n, count(*) FILTER (record_id % 3 <> 0) AS d FROM records GROUP BY label)
 SELECT CAST(sum(n) AS BIGINT) AS records, CAST(sum(d) AS BIGINT) AS evaluated, {r('sum(d) / sum(n)', 'coverage')}, CASE WHEN sum(d) = 0 THEN 'insufficient_independent_records' WHEN sum(d) = sum(n) AND bool_and(d > 0) AND min(n) >= 2 THEN 'valid' ELSE 'diagnostic_only' END AS status FROM g""",
@@ -210,8 +245,21 @@ c AS (SELECT n.record_id, channel FROM n, range(6) t(j) WHERE i = round_even(j *
     "cache_totals": f"WITH {LABELLED} SELECT count(*) AS records, CAST(sum(windows) AS BIGINT) AS windows, count(*) FILTER (record_id % 7 = 0) AS cache_hits FROM records",
     "cache_misses": """SELECT DISTINCT o_custkey AS record_id, o_orderstatus AS cache_key FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c_acctbal > 0 AND c_custkey = o_custkey AND CASE WHEN c_nationkey % 2 = 0 THEN 'O' ELSE 'F' END = o_orderstatus)""",
     "result_documents": f"""WITH {LABELLED} SELECT '{{"label":"' || label || '","n":' || CAST(count(*) AS VARCHAR) || '}}' AS json FROM records GROUP BY label""",
-    "class_sets": f"""WITH {LABELLED}, a AS (SELECT DISTINCT label FROM records WHERE record_id % 50 < 3), b AS (SELECT DISTINCT label FROM records WHERE record_id % 50 > 45)
+    "class_sets": """WITH r AS (SELECT concat_ws('#', p_brand, CAST(p_size AS VARCHAR)) AS label, p_retailprice > 1200 AS dear FROM part), a AS (SELECT DISTINCT label FROM r WHERE dear), b AS (SELECT DISTINCT label FROM r WHERE NOT dear)
 SELECT label, 'first' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT label, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
+    "window_feature_rows": FEATURE_ROWS,
+    "recorded_sequences": f"""WITH base AS (SELECT CAST(user_id AS VARCHAR) AS record_id, event_id AS seq, epoch_us(ts) / 1e6 AS x, value, CASE WHEN event_id % 4 <> 0 THEN value * 2 END AS other FROM events),
+d AS (SELECT *, x - lag(x) OVER (PARTITION BY record_id ORDER BY seq) AS d, count(*) OVER (PARTITION BY record_id) AS n FROM base),
+g AS (SELECT record_id, any_value(n) AS n, median(d) FILTER (d > 0) AS step, min(x) AS least, arg_max(x, seq) - arg_min(x, seq) AS length, (2 * count(*) + count(value) + count(other)) / (4 * count(*)) AS valid FROM d GROUP BY record_id),
+c AS (SELECT record_id, n, n >= 3 AND step IS NOT NULL AS timed, step, length, valid FROM g),
+cells AS (SELECT record_id, seq, 'event_time' AS channel, x AS value FROM base UNION ALL SELECT record_id, seq, 'value', value FROM base UNION ALL SELECT record_id, seq, 'other', other FROM base),
+filled AS (SELECT record_id, seq, channel, coalesce(value, median(value) OVER (PARTITION BY record_id, channel), 0) AS value FROM cells), {robust('filled', 'record_id, channel', 1e-8, True, None)},
+steps AS (SELECT record_id, seq, coalesce(z - lag(z) OVER (PARTITION BY record_id, channel ORDER BY seq), 0) AS d FROM scaled),
+act AS (SELECT record_id, seq, sqrt(avg(d * d)) AS activity FROM steps GROUP BY record_id, seq), top AS (SELECT record_id, count(*) AS rows, max(activity) AS most FROM act GROUP BY record_id),
+share AS (SELECT record_id, (count(x) + count(value) + count(other)) / (3 * count(*)) AS valid FROM base GROUP BY record_id)
+SELECT record_id, {r('CASE WHEN timed THEN 1 / step ELSE 1 END', 'rate_hz', 4)}, CASE WHEN timed THEN 'event_time' ELSE 'row_index' END AS time_source,
+  {r('CASE WHEN timed THEN length + 1 / greatest(1 / step, 1e-9) ELSE n - 1 + 1 END', 'duration', 4)}, {r('share.valid', 'valid_ratio', 4)}, rows, {r('most', 'most', 4)} FROM c JOIN top USING (record_id) JOIN share USING (record_id)""",
+    "cached_records": "SELECT record_id, cache_key, arg_max(run, made) AS run, arg_max(windows, made) AS windows FROM (SELECT o_custkey AS record_id, o_orderstatus AS cache_key, o_orderkey AS made, 'run' || CAST(o_orderkey AS VARCHAR) AS run, o_orderkey % 5 AS windows FROM orders) GROUP BY ALL",
     "best_of_each": f"""WITH {SAMPLES}, k AS (SELECT *, row_number() OVER (PARTITION BY record_id, channel ORDER BY value DESC, seq) AS k FROM samples) SELECT record_id, channel, {r('value', 'value')}, seq, {r('t', 't')} FROM k WHERE k = 1""",
     "epoch_windows": f"""SELECT user_id AS record_id, {r('floor(epoch_us(ts) / 21600e6) * 21600', 'w_start')}, count(value) AS n, {r('avg(value)', 'mean')}, {r('min(value)', 'min')}, {r('max(value)', 'max')} FROM events GROUP BY user_id, floor(epoch_us(ts) / 21600e6)""",
 }

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import clean_name
-from ..functions.vectors import fit_length
+from ..functions.scalars import char_text, clean_name
+from ..functions.vectors import fit_length, unique_texts
 
 # The layout of file names, ``<kind>_<batch>_class-<label>_<time>``, with the kinds and endings in use.
 NAME = r"(?i)^(ir|radar)_([^_]+)_(class-[^_]+)_(.+)$"
@@ -70,21 +71,66 @@ def paired(files: DataFrame) -> DataFrame:
     return report.where(fine.isNull()).select("record_id", "label", "left_path", "right_path", "start_time")
 
 
-def array_table(df: DataFrame, key: str, data: str, names: str, rows: str) -> DataFrame:
-    """A table kept as arrays (``data``: a list of columns, ``names``: their names) in long form: key,
-    column number, clean and unique column name, row number, value. Columns are cut or padded to ``rows``."""
-    columns = df.select(F.col(key), F.col(rows).alias("__rows"), F.posexplode(F.arrays_zip(F.col(data).alias("values"), F.col(names).alias("name"))).alias("column", "__c"))
-    cells = columns.select(key, "column", clean_name(F.col("__c.name")).alias("name"), F.posexplode(fit_length(F.col("__c.values"), F.col("__rows"))).alias("row", "value"))
-    return cells
+def array_table(df: DataFrame, key: str, data: str, names: str, rows: str | None = None, row_names: str | None = None, table: str = "table") -> DataFrame:
+    """A table kept as arrays in long form: key, column number, name, row number, value (and row_name).
+
+    ``data`` is a list of variables, each a list of values or a list of lists (two dimensions). A variable of
+    two dimensions whose rows number the table's becomes the columns ``name_1`` ...; one whose columns do is
+    turned; another is read row by row. Columns are cut or padded to the table's rows: ``rows`` (a number or its
+    text), or without a positive one the longest variable's. Names are texts or lists of characters, cleaned;
+    a missing one is ``<table>_<place>``, and a name that is taken gets ``_2``, ``_3``, ..., the first that is
+    free. Row names hold if there is one for each row; an empty one is the row's number.
+    """
+    kind = df.schema[data].dataType.elementType
+    flat = not isinstance(kind.elementType, T.ArrayType)
+    given = F.try_to_number(F.col(rows), F.lit("999999999999")).cast("long") if rows and isinstance(df.schema[rows].dataType, T.StringType) else F.col(rows).cast("long") if rows else F.lit(None).cast("long")
+    n = F.coalesce(F.when(given > 0, given), F.array_max(F.transform(data, F.size)).cast("long")).cast("int")
+    text = (lambda x: char_text(x)) if isinstance(df.schema[names].dataType.elementType, T.ArrayType) else (lambda x: x)
+    sized = df.select(F.col(key), F.col(data).alias("__d"), F.transform(names, text).alias("__n"), n.alias("__rows"), *([F.col(row_names).alias("__rn")] if row_names else []))
+    sized = sized.where("__rows > 0")
+
+    def columns(v: Column, i: Column) -> Column:
+        name = clean_name(F.coalesce(F.nullif(F.get("__n", i), F.lit("")), F.concat(F.lit(f"{table}_"), (i + 1).cast("string"))))
+        one = lambda x: F.array(F.struct(name.alias("name"), fit_length(x, F.col("__rows")).alias("values")))
+        if flat:
+            return one(v)
+        wide, high = F.size(F.get(v, F.lit(0))), F.size(v)
+        label = lambda j, k: F.when(k == 1, name).otherwise(F.concat(name, F.lit("_"), (j + 1).cast("string"))).alias("name")
+        by_rows = F.transform(F.sequence(F.lit(0), wide - 1), lambda j: F.struct(label(j, wide), F.transform(v, lambda r: F.get(r, j)).alias("values")))
+        turned = F.transform(F.sequence(F.lit(0), high - 1), lambda j: F.struct(label(j, high), F.get(v, j).alias("values")))
+        return F.when((high == F.col("__rows")) & (wide > 0), by_rows).when((wide == F.col("__rows")) & (high > 0), turned).otherwise(one(F.flatten(v)))
+
+    listed = sized.withColumn("__c", F.flatten(F.transform("__d", columns)))
+    free = unique_texts(F.transform("__c", lambda c: c["name"]))
+    cells = listed.withColumn("__free", free).select(
+        key, *(["__rn"] if row_names else []), "__rows", F.posexplode(F.arrays_zip(F.transform("__c", lambda c: c["values"]).alias("values"), F.col("__free").alias("name"))).alias("column", "__c")
+    )
+    cells = cells.select(key, *(["__rn", "__rows"] if row_names else []), "column", F.col("__c.name").alias("name"), F.posexplode("__c.values").alias("row", "value"))
+    if not row_names:
+        return cells
+    named = F.coalesce(F.nullif(F.get("__rn", F.col("row")), F.lit("")), F.col("row").cast("string"))
+    return cells.withColumn("row_name", F.when(F.size("__rn") == F.col("__rows"), named)).drop("__rn", "__rows")
+
+
+#: Rows of a table that may be its columns.
+FEW = 8
 
 
 def transposed(wide: DataFrame, key: str, columns: Sequence[str], prefix: str = "signal") -> DataFrame:
-    """Few long rows as long columns: one row for each column of ``wide``, with ``prefix_0`` ... from its rows
-    in order of ``key`` (0, 1, ... - at most eight make sense)."""
+    """At most eight long rows as long columns: one row for each column of ``wide``, with ``prefix_0`` ... from
+    its rows in order of ``key``. More rows are an error."""
+    keys = [r[0] for r in wide.select(key).orderBy(key).limit(FEW + 1).collect()]
+    if len(keys) > FEW:
+        raise ValueError(f"more than {FEW} rows cannot become columns")
     long = wide.unpivot([key], list(columns), "column", "value")
     at = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
-    keys = list(range(8))
-    return long.groupBy(at[F.col("column")].alias("row")).agg(*[F.max(F.when(F.col(key) == k, F.col("value"))).alias(f"{prefix}_{k}") for k in keys])
+    return long.groupBy(at[F.col("column")].alias("row")).agg(*[F.max(F.when(F.col(key) == k, F.col("value"))).alias(f"{prefix}_{i}") for i, k in enumerate(keys)])
+
+
+def by_shape(wide: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``wide``, or ``transposed`` where it has at most eight rows and fewer of them than columns."""
+    n = len(wide.select(key).limit(FEW + 1).collect())
+    return transposed(wide, key, columns) if n <= FEW and n < len(columns) else wide
 
 
 def largest(candidates: Sequence[tuple[str, int, int]]) -> str:
