@@ -259,6 +259,38 @@ def test_quality_counts(which, request):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def plain_kept(t):
+    """Whole and chunk ratios against the bands, the last chunk reaching back."""
+    import zstandard
+
+    data = (t or "").encode()
+    if plain_quality(t)[-1] or not data:
+        return False
+    ratio = lambda b: len(zstandard.compress(b, 3)) / len(b)
+    lo, hi = next((x, y) for most, x, y in quality.WHOLE_BANDS if len(data) < most)
+    chunks = [data[i : i + 2048] for i in range(0, len(data), 2048)]
+    if len(data) > 2048:
+        chunks[-1] = data[-2048:]
+    bad = sum(not (0.454 <= ratio(c) <= 0.75 if len(c) == 2048 else lo <= ratio(c) <= hi) for c in chunks)
+    return lo <= ratio(data) <= hi and 4 * bad <= len(chunks)
+
+
+@pytest.mark.parametrize("which", ["odd", "docs"])
+def test_quality_verdicts(which, request):
+    df = request.getfixturevalue(which)
+    got = sorted((str(r.doc_id), r.n_words, r.kept) for r in quality.compression_bands(df).collect())
+    assert got == sorted((str(r.doc_id), len(WORD.findall(r.text or "")), plain_kept(r.text)) for r in df.collect())
+
+
+def test_a_noisy_tail_counts():
+    import zstandard
+
+    rng = random.Random(2)
+    prose = " ".join(rng.choice(["market", "river", "stone", "winter", "letter", "engine"]) + str(rng.randrange(60)) for _ in range(260)).encode()[:2048]
+    *_, n, good = quality.compression(prose + bytes(rng.randrange(256) for _ in range(700)), zstandard.ZstdCompressor(level=3))
+    assert n == 2 and not good
+
+
 def test_compression_bands_tell_repeats_and_noise():
     import zstandard
 
@@ -282,7 +314,7 @@ def test_quality_follows_labels(spark):
     (None, "", "", None, "allow"), ("no scheme", "", "", None, "allow"), ("http://A.Example.ORG/es/x", "a.example.org", "/es/x", "example.org/es/", "block"),
     ("http://example.org/en/17?x", "example.org", "/en/17", "example.org/en/1", "block"), ("http://x.org/casino", "x.org", "/casino", "org/", "allow"), ("http://x.org", "x.org", "", None, "allow"),
     ("http://notorg/x", "notorg", "/x", None, "allow"), ("http://x.com/de/casino", "x.com", "/de/casino", "com/de/", "block"), ("https://CASINO-x.net", "casino-x.net", "", None, "block"),
-    ("https://occasino.net/", "occasino.net", "/", None, "allow"), ("https://free.net/win", "free.net", "/win", None, "block"), ("https://free.net/free", "free.net", "/free", None, "allow"),
+    ("https://occasino.net/", "occasino.net", "/", None, "allow"), ("https://free.net/win", "free.net", "/win", None, "allow"), ("https://free.net/poker", "free.net", "/poker", None, "block"), ("https://free.net/win/bet", "free.net", "/win/bet", None, "block"), ("https://poker.net/poker", "poker.net", "/poker", None, "allow"), ("https://free.net/free", "free.net", "/free", None, "allow"),
     ("a://b://c/d#e", "b:", "//c/d", None, "allow"),
 ])
 def test_url_verdicts(spark, url, host, path, rule, verdict):
@@ -290,6 +322,21 @@ def test_url_verdicts(spark, url, host, path, rule, verdict):
     assert tuple(urlfilter.url_vocabulary(df).first())[1:5] == (host, path, rule, verdict)
 
 
+def test_url_odd_tables(spark, tmp_path):
+    kind = "page_id long, url string, host string, rule string"
+    assert urlfilter.url_vocabulary(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, "http://casino.net/", "x", "y")] * 3 + [(None, None, None, None), (2, "", "h", "r")]
+    got = sorted((str(r.page_id), r.verdict) for r in urlfilter.url_vocabulary(spark.createDataFrame(rows, kind)).collect())
+    assert got == [("1", "block")] * 3 + [("2", "allow"), ("None", "allow")]
+    (tmp_path / "t").write_text("# own\nbad\tstrict\t0\nso\tsoft\t2.5\n")
+    strict, soft = urlfilter.vocabulary(tmp_path / "t")
+    own = urlfilter.url_vocabulary(spark.createDataFrame([(1, "a://x/so"), (2, "a://bad/"), (3, "a://x/casino")], "page_id long, url string"), strict=strict, soft=soft)
+    assert [r.verdict for r in own.orderBy("page_id").collect()] == ["block", "block", "allow"]
+    (tmp_path / "t").write_text("bad line\n")
+    with pytest.raises(ValueError, match="no term"):
+        urlfilter.vocabulary(str(tmp_path / "t"))
+
+
 def test_url_query_equals_sql(spark, duck):
     got = catalog.queries()["op4_url_vocabulary"](spark, SF).collect()
     want = duck.execute(catalog.oracle_sql()["op4_url_vocabulary"]).fetchall()
@@ -359,6 +406,16 @@ def test_nothing_learned_keeps_no_secret(spark, odd, none):
     assert langid.keep_known(none, untrained).count() == 0
 
 
+def test_language_odd_tables(spark, none, odd, docs):
+    model = langid.train(docs)
+    assert langid.language_spans(none, model).count() == 0 and langid.keep_known(none, model).count() == 0
+    left = langid.keep_known(odd, model)
+    assert left.columns == odd.columns and {r.text for r in left.collect()}.isdisjoint({None, "", " \t\n", "!!! ??? 123"})
+    tied = langid.Model(["a", "b"], np.zeros((2, langid.FEATURES)), np.ones((len(textkit.Letters.NAMES), 2), bool))
+    r = langid.language_spans(spark.createDataFrame([(1, "x y", "q", 0.5)], "doc_id long, text string, lang_pred string, score double"), tied).first()
+    assert (r.lang_pred, r.score) == ("a", 0.5)
+
+
 def test_unknown_script_leaves_all_languages(spark, docs):
     r = langid.language_spans(spark.createDataFrame([(1, "слово ещё")], "doc_id long, text string"), langid.train(docs)).first()
     assert r.lang_pred in langid.train(docs).languages
@@ -393,6 +450,76 @@ def test_chain_without_labels(spark, odd):
     assert got.count() == odd.count() and {r.kept for r in got.collect()} == {True}
 
 
+def plain_chain(rows, folds, words, ridge=0.3):
+    """Words by chi-square without the fold's rows, ridge logistic models and out-of-fold probabilities."""
+    sets = [set(re.findall(r"[^\W\d_]+", t.lower())) for _, t, *_ in rows]
+    labels = np.array([r[2:] for r in rows], float)
+    n = len(rows)
+
+    def chosen(train):
+        out = set()
+        df = collections.Counter(w for i in train for w in sets[i])
+        for k in range(labels.shape[1]):
+            rate = labels[train, k].mean()
+            hit = collections.Counter(w for i in train for w in sets[i] if labels[i, k])
+            gain = {w: (hit[w] - c * rate) ** 2 / (c * rate * (1 - rate) + 1) for w, c in df.items() if c >= 3}
+            out |= set(sorted(gain, key=lambda w: -gain[w])[:words])
+        return sorted(out)
+
+    def model(train, k, earlier):
+        vocabulary = chosen(train)
+        x = np.array([[1, *(w in sets[i] for w in vocabulary), *earlier[i]] for i in range(n)], float)
+        w = np.zeros(x.shape[1])
+        shrink = np.r_[1e-6, np.full(x.shape[1] - 1, ridge)]
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-x[train] @ w))
+            w += np.linalg.solve(x[train].T @ np.diag(p * (1 - p)) @ x[train] + np.diag(shrink), x[train].T @ (labels[train, k] - p) - shrink * w)
+        return 1 / (1 + np.exp(-x @ w))
+
+    every, unseen, full = list(range(n)), np.zeros((n, 0)), np.zeros((n, 0))
+    for k in range(labels.shape[1]):
+        fold = np.zeros(n)
+        for f in set(folds):
+            p = model([i for i in every if folds[i] != f], k, unseen)
+            fold[[i for i in every if folds[i] == f]] = p[[i for i in every if folds[i] == f]]
+        # the final model is fitted on out-of-fold probabilities and applied to its own chain
+        vocabulary = chosen(every)
+        x = np.array([[1, *(w in s for w in vocabulary)] for s in sets], float)
+        a, b = np.column_stack([x, unseen]), np.column_stack([x, full])
+        w, shrink = np.zeros(a.shape[1]), np.r_[1e-6, np.full(a.shape[1] - 1, ridge)]
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-a @ w))
+            w += np.linalg.solve(a.T @ np.diag(p * (1 - p)) @ a + np.diag(shrink), a.T @ (labels[:, k] - p) - shrink * w)
+        full, unseen = np.column_stack([full, 1 / (1 + np.exp(-b @ w))]), np.column_stack([unseen, fold])
+    return full
+
+
+def test_chain_equals_a_plain_one(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        toxic, poor = rng.random() < 0.3, rng.random() < 0.4
+        w = [rng.choice("abcdefghijkl") * 3 for _ in range(12)] + ["vile"] * (toxic and rng.random() < 0.9) + ["spam"] * (poor and rng.random() < 0.8) + ["spam"] * (rng.random() < 0.1)
+        rows.append((i, " ".join(w), int(poor), int(toxic)))
+    df = spark.createDataFrame([(i, t, "x") for i, t, *_ in rows], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, 1 - p, t) for i, _, p, t in rows], "doc_id long, quality int, toxic int")
+    odd = spark.createDataFrame([(3, 1, 0), (3, 1, 0), (None, 1, 1), (5, None, 1)], "doc_id long, quality int, toxic int")
+    folds = [r.f for r in df.select(toxicity.fold_of(F.col("doc_id")).alias("f")).collect()]
+    want = plain_chain([r if r[0] != 3 else r for r in rows], folds, 6)
+    chain = toxicity.train(df, labels.unionAll(odd.where("doc_id IS NULL OR quality IS NULL")), words=6)
+    got = toxicity.classifier_chain(df, chain).orderBy("doc_id").collect()
+    assert np.array([[r.p_low_quality, r.p_toxic] for r in got]) == pytest.approx(want, abs=1e-3)
+    assert [r.kept for r in got] == [not r.toxic for r in got]
+
+
+def test_chain_on_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(6, 1, 0), (7, 0, 1), (9, 1, 0), (9, 0, 0), (12, 0, 1), (0, 1, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(odd, labels)
+    got = toxicity.classifier_chain(odd, chain).collect()
+    assert len(got) == odd.count() and all(0 <= r.p_toxic <= 1 for r in got)
+    assert toxicity.classifier_chain(none, chain).count() == 0
+
+
 def test_chain_uses_earlier_categories():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (400, 4)).astype(float)
@@ -479,6 +606,41 @@ def test_passages_left_out_cannot_reach_the_score(monkeypatch):
     assert found.hits(view) == whole and len(whole) > 20
 
 
+def test_alignment_finds_what_all_pairs_do(spark):
+    """Edited copies against every text and item aligned in full."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(400)}"
+    items = [[word() for _ in range(rng.randrange(9, 50))] for _ in range(25)]
+    texts = []
+    for i in range(150):
+        t = [word() for _ in range(rng.randrange(20, 90))]
+        if i % 3:
+            copy = []
+            for x in rng.choice(items):
+                u = rng.random()
+                copy += [x] if u > 0.3 else [word()] if u > 0.15 else [x, word()] if u > 0.07 else []
+            at = rng.randrange(len(t))
+            t[at:at] = copy
+        texts.append(t)
+    want = {(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if plain_alignment(x, t) >= max(0.4 * len(x), min(len(x), 8))}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()}
+    assert len(want) > 60 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_contamination_odd_tables(spark, monkeypatch):
+    docs, bench = planted(spark)
+    whole = sorted(map(str, decontamination.contaminated(docs, bench).collect()))
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)  # the index in files
+    assert sorted(map(str, decontamination.contaminated(docs, bench, block=2).collect())) == whole
+    twice = docs.unionAll(docs).unionAll(spark.createDataFrame([(None, "short one", "x")], docs.schema))
+    got = decontamination.contaminated(twice, bench.unionAll(bench.where("item_id = 1")))
+    assert got.where("doc_id = 3").count() == 4 and got.where("doc_id IS NULL").count() == 1
+    one = spark.createDataFrame([(9, "filler7")], "item_id long, text string")  # an item of one common word
+    assert {r.doc_id for r in decontamination.contaminated(docs, one).collect()} == {0, 1, 2, 4, 7, 8}
+
+
 def test_contamination_without_items(spark, odd, none):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(odd, bench).count() == 0
@@ -534,6 +696,16 @@ def test_kneser_ney_equals_plain_counts(spark, docs, odd):
         assert [x for h in have for x in h[4:]] == pytest.approx([x for w in want for x in w[4:]], rel=1e-9, abs=1e-9)
 
 
+def test_kneser_ney_in_two_steps(docs, monkeypatch):
+    """More buckets than a task deals to at once, counts beyond one byte: the same model."""
+    one = kneser_ney.perplexity(docs, kneser_ney.train(docs)).select("doc_id", "n_known", "score").collect()
+    monkeypatch.setattr(kneser_ney, "STEP_BITS", 3)
+    monkeypatch.setattr(kneser_ney, "HELD", 20000)
+    two = kneser_ney.perplexity(docs, kneser_ney.train(docs)).select("doc_id", "n_known", "score").collect()
+    assert sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in one) == sorted((r.doc_id, r.n_known, round(r.score, 6)) for r in two)
+    assert [kneser_ney.narrow(np.array([x], np.uint64)).itemsize for x in (0, 255, 256, 1 << 16, 1 << 40)] == [1, 1, 2, 4, 8]
+
+
 def test_kneser_ney_of_nothing(none, odd):
     model = kneser_ney.train(none)
     assert kneser_ney.perplexity(none, model).count() == 0

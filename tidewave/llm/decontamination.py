@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, fits, mounted_folder
 from .textkit import IS_TOKEN, Bytes, byte_view, pair_hash, portions, words
 
 #: Tokens in a seed.
 SEED = 3
 #: Least score by the item's tokens (match 1, else -1), and least matches of a short item.
 LEAST_SHARE, LEAST_SCORE = 0.4, 8
-#: Items handled at a time; each block of items is one pass over the corpus.
+#: Items in a block of the index.
 BLOCK = 20000
 #: Passages aligned at a time, and their tokens with padding (one passage at least).
 PASSAGES, TOKENS = 256, 1 << 18
@@ -40,26 +40,48 @@ def grams(h: np.ndarray, rows: np.ndarray, n: int = SEED) -> tuple[np.ndarray, n
 
 
 class Items:
-    """A block of test items: their tokens and seeds."""
+    """A block of test items: their tokens and seeds, all of them arrays."""
+
+    ARRAYS = ("ids", "hashes", "first", "sizes", "seeds", "item", "place", "vocabulary")
 
     def __init__(self, ids: list[int], texts: list[str]):
         w = words(byte_view(pa.array(texts, pa.large_string())), within=IS_TOKEN)
-        self.ids, self.hashes, self.first = ids, w.hashes, w.first
+        self.ids, self.hashes, self.first = np.array(ids, np.int64), w.hashes, w.first
         # the n-grams of every item; one with fewer tokens is a single shorter one
-        found = [grams(w.hashes[a:b], np.zeros(b - a, int), min(SEED, b - a)) for a, b in zip(w.first[:-1], w.first[1:], strict=True) if b > a]
-        whose = [i for i in range(len(ids)) if w.first[i + 1] > w.first[i]]
-        self.sizes = sorted({min(SEED, int(w.first[i + 1] - w.first[i])) for i in whose})
-        hashes = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
-        items = np.repeat(whose, [len(f[0]) for f in found]).astype(np.int64) if found else np.zeros(0, np.int64)
-        places = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+        length = np.diff(w.first)
+        parts = []
+        for n in range(1, SEED + 1):
+            own = length >= SEED if n == SEED else length == n
+            h, at = grams(w.hashes, w.rows, n)
+            kept = own[w.rows[at]]
+            parts.append((h[kept], at[kept]))
+        hashes, at = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        self.sizes = np.unique(np.minimum(length[length > 0], SEED))
         order = np.argsort(hashes, kind="stable")
-        self.seeds, self.item, self.place = hashes[order], items[order], places[order]
-        self.vocabulary = np.unique(pair_hash(np.repeat(np.arange(len(ids), dtype=np.uint64), np.diff(w.first)), w.hashes))
+        row = w.rows[at[order]]
+        self.seeds, self.item, self.place = hashes[order], row, at[order] - w.first[row]
+        self.vocabulary = np.unique(pair_hash(np.repeat(np.arange(len(ids), dtype=np.uint64), length), w.hashes))
+
+    @property
+    def nbytes(self) -> int:
+        return sum(getattr(self, a).nbytes for a in self.ARRAYS)
+
+    def save(self, folder: str) -> None:
+        for a in self.ARRAYS:
+            np.save(f"{folder}.{a}.npy", getattr(self, a))
+
+    @classmethod
+    def load(cls, folder: str) -> Items:
+        """The block as memory-mapped arrays."""
+        out = cls.__new__(cls)
+        for a in cls.ARRAYS:
+            setattr(out, a, np.load(f"{folder}.{a}.npy", mmap_mode="r"))
+        return out
 
     def found(self, h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of a seed, place in the texts) of every seed that occurs."""
         seeds, places = [], []
-        for n in self.sizes:
+        for n in self.sizes.tolist():
             g, at = grams(h, rows, n)
             lo = np.searchsorted(self.seeds, g, "left")
             hit = np.flatnonzero(self.seeds[np.minimum(lo, len(self.seeds) - 1)] == g) if len(self.seeds) else np.zeros(0, int)
@@ -123,7 +145,7 @@ class Items:
                 new_one = (float(score[g] / length[item[k]]), int(base + end[g] - r), int(base + end[g]))
                 if new_one > best.get((int(row[k]), int(item[k])), (0.0, 0, 0)):
                     best[int(row[k]), int(item[k])] = new_one
-        return [(r, self.ids[i], *v) for (r, i), v in sorted(best.items())]
+        return [(r, int(self.ids[i]), *v) for (r, i), v in sorted(best.items())]
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,41 +185,61 @@ def blocks(benchmark: DataFrame, item: str, text: str, size: int) -> Iterator[It
         yield Items([r[0] for r in part], [r[1] for r in part])
 
 
+class Index:
+    """All test items in blocks: sent along where they are small, else memory-mapped from the shared folder."""
+
+    def __init__(self, benchmark: DataFrame, item: str, text: str, block: int):
+        self.held: list[Items] = []
+        self.saved: list[str] = []
+        folder = None
+        for n, items in enumerate(blocks(benchmark, item, text, block)):
+            self.held.append(items)
+            if folder is None and not fits(sum(x.nbytes for x in self.held)):
+                folder = mounted_folder(benchmark.sparkSession, "items")
+            if folder is not None:
+                for x in self.held:
+                    self.saved.append(f"{folder}/{n}-{len(self.saved)}")
+                    x.save(self.saved[-1])
+                self.held = []
+
+    def hits(self, view: Bytes) -> list[tuple[int, int, float, int, int]]:
+        """The hits of every block, by text."""
+        if self.saved and not self.held:  # in a worker
+            self.held = [Items.load(x) for x in self.saved]
+        return sorted(h for items in self.held for h in items.hits(view))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each text and test item that it holds: the key, item, score (1: an exact copy), and
     the passage's first and end token (runs of letters and digits, lower-cased).
 
-    Items go to the workers in blocks of a fixed size, each with one pass over the corpus (seeds, then
-    alignments), so any number of items is handled and no text is shuffled. Null and empty
-    texts or items match nothing; equal items each give rows, and repeated rows repeat; without items or
-    texts there are no rows.
+    The corpus is read once, whatever the number of items, and no text is shuffled. Null and empty
+    texts or items match nothing; equal items each give rows, and repeated rows repeat; an item with fewer
+    tokens than a seed marks every text that has them; without items or texts there are no rows.
     """
-    out = docs.sparkSession.createDataFrame([], f"`{key}` long, `{item}` long, score double, first_token long, end_token long")
-    for items in blocks(benchmark, item, text, block):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+    sent = docs.sparkSession.sparkContext.broadcast(Index(benchmark, item, text, block))
 
-        def aligned(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in portions(whole, "text"):
-                    hits = sent.value.hits(byte_view(batch.column(1)))
-                    keys = batch.column(0).to_pylist()
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[h[0]] for h in hits], pa.int64()), *(pa.array([h[i] for h in hits], t) for i, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64())))], names=["key", "item", "score", "first_token", "end_token"])
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        for whole in batches:
+            for batch in portions(whole, "text"):
+                hits = sent.value.hits(byte_view(batch.column(1)))
+                keys = batch.column(0).to_pylist()
+                columns = [pa.array([keys[h[0]] for h in hits], pa.int64()), *(pa.array([h[i] for h in hits], t) for i, t in enumerate(kinds, 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "item", "score", "first_token", "end_token"])
 
-        found = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(aligned, "key long, item long, score double, first_token long, end_token long")
-        out = out.unionAll(found.select(F.col("key").alias(key), F.col("item").alias(item), "score", "first_token", "end_token"))
-    return out
+    found = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(aligned, "key long, item long, score double, first_token long, end_token long")
+    return found.select(F.col("key").alias(key), F.col("item").alias(item), "score", "first_token", "end_token")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no test item."""
-    for items in blocks(benchmark, item, text, block):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in portions(whole, text):
-                    hit = {h[0] for h in sent.value.hits(byte_view(batch.column(batch.schema.names.index(text))))}
-                    yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)]))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    """The rows of ``docs``, all columns, whose text holds no test item: one pass, as ``contaminated``."""
+    sent = docs.sparkSession.sparkContext.broadcast(Index(benchmark, item, text, block))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in portions(whole, text):
+                hit = {h[0] for h in sent.value.hits(byte_view(batch.column(batch.schema.names.index(text))))}
+                yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)

@@ -24,8 +24,9 @@ from .textkit import Bytes, Words, byte_view, mix, portions, words
 
 U64, U32 = np.uint64, np.uint32
 START, END = U64(0x51A7D3E94B20C86F), U64(0xE3779B185EBCA871)
-#: Least and most buckets, and the distinct n-grams a task holds before it sends them on.
-MIN_BUCKETS, MAX_BUCKETS, HELD = 64, 4096, 4_000_000
+#: Least buckets, those (as a power of two) that a task deals to in one step, and the distinct n-grams that it
+#: holds before it sends them on.
+MIN_BUCKETS, STEP_BITS, HELD = 64, 12, 4_000_000
 UNIGRAM, BIGRAM, CONTEXT, CONTINUATION, STAT = range(5)
 SCHEMA = "kind int, bucket int, keys binary, counts binary"
 
@@ -86,6 +87,11 @@ def table(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "bucket", "keys", "counts"])
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Counts in the smallest type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
 def save(folder: str, name: str, values: np.ndarray) -> None:
     """Atomically, so that a task run twice leaves the same file."""
     spare = f"{folder}/.{name}-{uuid.uuid4().hex}"
@@ -116,14 +122,16 @@ class Model:
     d_low: list[float]
     mass_low: float  # what the lower order leaves to all words alike
 
-    def part(self, name: str, bucket: int, kind: type) -> np.ndarray:
+    def part(self, name: str, bucket: int, kind: type | None = None, n: int = 0) -> np.ndarray:
+        """A bucket's array; counts have whatever type ``n`` of them fill the file with."""
         path = f"{self.folder}/{name}-{bucket}"
         got = _maps.get(path)
         if got is None:
-            got = _maps[path] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
+            size = os.path.getsize(path) if os.path.exists(path) else 0
+            got = _maps[path] = np.memmap(path, kind or f"<u{size // n}", "r") if size else np.zeros(0, U64)
         return got
 
-    def look_up(self, kind: int, keys: np.ndarray, names: tuple[str, ...], kinds: tuple[type, ...], key_kind: type = U64) -> list[np.ndarray]:
+    def look_up(self, kind: int, keys: np.ndarray, names: tuple[str, ...], key_kind: type = U64) -> list[np.ndarray]:
         """The values of each of the distinct keys, 0 where it is unknown."""
         out = [np.zeros(len(keys), np.float64) for _ in names[1:]]
         whole = keys if key_kind is U64 else keys.astype(U64) << U64(32)
@@ -136,19 +144,19 @@ class Model:
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
                 hit = known[at] == keys[own]
-                for o, name, t in zip(out, names[1:], kinds, strict=True):
-                    o[own[hit]] = self.part(name, int(b), t)[at[hit]]
+                for o, name in zip(out, names[1:], strict=True):
+                    o[own[hit]] = self.part(name, int(b), n=len(known))[at[hit]]
         return out
 
     def scores(self, view: Bytes) -> dict[str, np.ndarray]:
         now, before, rows = tokens(words(view))
         n = len(view)
         types, back = np.unique(now, return_inverse=True)
-        count, follows = self.look_up(UNIGRAM, types, ("uni", "uni-count", "uni-follows"), (np.uint64, np.uint64))
+        count, follows = self.look_up(UNIGRAM, types, ("uni", "uni-count", "uni-follows"))
         contexts, ctx = np.unique((before >> U64(32)).astype(U32), return_inverse=True)
-        total, one, two, more = self.look_up(CONTEXT, contexts, ("ctx", "ctx-total", "ctx-1", "ctx-2", "ctx-3"), (np.uint64,) * 4, U32)
+        total, one, two, more = self.look_up(CONTEXT, contexts, ("ctx", "ctx-total", "ctx-1", "ctx-2", "ctx-3"), U32)
         pairs, pair = np.unique(bigrams(now, before), return_inverse=True)
-        (seen,) = self.look_up(BIGRAM, pairs, ("bi", "bi-count"), (np.uint32,))
+        (seen,) = self.look_up(BIGRAM, pairs, ("bi", "bi-count"))
 
         cut = lambda c, d: np.maximum(c - np.array(d)[np.minimum(c, 3).astype(int)], 0)
         low = (cut(follows, self.d_low) / max(1, self.n_bigrams) + self.mass_low / (self.v + 1))[back]
@@ -169,13 +177,15 @@ def train(docs: DataFrame, chosen: Column | None = None, text: str = "text") ->
 
     Two shuffles of compressed blobs: the n-grams' counts, then what a bigram adds to its context (total,
     and how many words follow it once, twice, more often) and to its word (different words before it).
-    The driver sees a row of numbers for each bucket.
+    Buckets grow with the partitions of the texts, so that one is merged in bounded memory at any size; from
+    4096 on each shuffle takes two steps. The driver sees a row of numbers for each bucket.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.where(chosen) if chosen is not None else docs
     parts = docs.rdd.getNumPartitions()
-    bits = int(np.clip(2 * parts, MIN_BUCKETS, MAX_BUCKETS) - 1).bit_length()
+    bits = (max(2 * parts, MIN_BUCKETS) - 1).bit_length()
+    first_bits = min(bits, STEP_BITS)
     folder = mounted_folder(spark, "kneser-ney")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +193,7 @@ def train(docs: DataFrame, chosen: Column | None = None, text: str = "text") ->
         size = 0
 
         def flush() -> pa.RecordBatch:
-            return table([r for kind, got in held.items() if got for r in blobs(kind, *summed(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got])), bits)])
+            return table([r for kind, got in held.items() if got for r in blobs(kind, *summed(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got])), first_bits)])
 
         for whole in batches:
             for batch in portions(whole, "text"):
@@ -211,6 +221,35 @@ def train(docs: DataFrame, chosen: Column | None = None, text: str = "text") ->
                 waiting, held = [], 0
         return summed(np.concatenate([keys, *(w[0] for w in waiting)]), np.concatenate([counts, *(w[1] for w in waiting)]))
 
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows by all bits of their buckets. Where there are more buckets than a task deals to in one step, the
+        rows go to their step's bucket first, where a task takes many blobs apart and sends larger ones on."""
+        if bits == first_bits:
+            return rows
+
+        def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            size = 0
+
+            def flush() -> pa.RecordBatch:
+                return table([r for kind, got in held.items() for r in blobs(kind, *summed(*(np.concatenate([g[i] for g in got]) for i in (0, 1))), bits)])
+
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["kind"] == STAT:
+                        yield table([(STAT, r["bucket"], b"", r["counts"])])
+                        continue
+                    keys = unpack(r["keys"], U64)
+                    held.setdefault(r["kind"], []).append((keys, unpack(r["counts"], U64).reshape(len(keys), -1)))
+                    size += len(keys)
+                    if size > HELD:
+                        yield flush()
+                        held, size = {}, 0
+            if size:
+                yield flush()
+
+        return rows.repartition("kind", "bucket").mapInArrow(finer, SCHEMA)
+
     def stat(bucket: int, values: list[int]) -> tuple[int, int, bytes, bytes]:
         return STAT, bucket, b"", np.array(values, np.int64).tobytes()
 
@@ -221,11 +260,11 @@ def train(docs: DataFrame, chosen: Column | None = None, text: str = "text") ->
         if kind == UNIGRAM:
             return pa.Table.from_batches([table([(UNIGRAM, bucket, pack(keys), pack(counts))])])
         save(folder, f"bi-{bucket}", keys)
-        save(folder, f"bi-count-{bucket}", counts.astype(U32))
+        save(folder, f"bi-count-{bucket}", narrow(counts))
         context = np.column_stack([counts, counts == 1, counts == 2, counts > 2]).astype(U64)
         out = [stat(bucket, [1, len(keys), *count_of_counts(counts)])]
         for to, at, value in ((CONTEXT, keys >> U64(32) << U64(32), context), (CONTINUATION, keys << U64(32), np.ones((len(keys), 1), U64))):
-            out += blobs(to, *summed(at, value), bits)
+            out += blobs(to, *summed(at, value), first_bits)
         return pa.Table.from_batches([table(out)])
 
     def second_merge(rows: pa.Table) -> pa.Table:
@@ -239,19 +278,19 @@ def train(docs: DataFrame, chosen: Column | None = None, text: str = "text") ->
             at = np.minimum(np.searchsorted(halves, keys >> U64(32) << U64(32)), len(halves) - 1)
             hit = halves[at] == keys >> U64(32) << U64(32)
             follows[hit] = before[at[hit], 0]
-        for name, values in (("uni", keys), ("uni-count", counts), ("uni-follows", follows)):
+        for name, values in (("uni", keys), ("uni-count", narrow(counts)), ("uni-follows", narrow(follows))):
             save(folder, f"{name}-{bucket}", values)
         context, values = of(CONTEXT, 4)
         save(folder, f"ctx-{bucket}", (context >> U64(32)).astype(U32))
         for i, name in enumerate(("ctx-total", "ctx-1", "ctx-2", "ctx-3")):
-            save(folder, f"{name}-{bucket}", np.ascontiguousarray(values[:, i]))
+            save(folder, f"{name}-{bucket}", narrow(values[:, i]))
         low = follows.astype(np.int64)
         stats = [r for r, kind in zip(rows.to_pylist(), kinds, strict=True) if kind == STAT]
         own = stat(bucket, [0, int(counts.sum()), len(keys), *count_of_counts(low), int((low > 2).sum()), int(low.sum())])
         return pa.Table.from_batches([table([own, *((STAT, r["bucket"], b"", r["counts"]) for r in stats)])])
 
-    first = docs.select(F.col(text).alias("text")).mapInArrow(counted, SCHEMA).groupBy("kind", "bucket").applyInArrow(first_merge, SCHEMA)
-    stats = [np.frombuffer(r[0], np.int64) for r in first.groupBy("bucket").applyInArrow(second_merge, SCHEMA).select("counts").collect()]
+    first = dealt(docs.select(F.col(text).alias("text")).mapInArrow(counted, SCHEMA)).groupBy("kind", "bucket").applyInArrow(first_merge, SCHEMA)
+    stats = [np.frombuffer(r[0], np.int64) for r in dealt(first).groupBy("bucket").applyInArrow(second_merge, SCHEMA).select("counts").collect()]
     high = np.sum([s[1:] for s in stats if s[0] == 1] or [np.zeros(5, np.int64)], axis=0)
     low = np.sum([s[1:] for s in stats if s[0] == 0] or [np.zeros(8, np.int64)], axis=0)
     d, d_low = discounts(high[1:].tolist()), discounts(low[2:6].tolist())

@@ -17,8 +17,11 @@ from .shared import bounded_batches
 from .textkit import IS_SPACE, Bytes, byte_view, mix, pair_hash, per_row, portions, range_hashes, words
 
 #: (bytes below, lowest ratio, highest ratio) of whole texts, by length; the first row that fits holds.
-WHOLE_BANDS = ((200, 0.40, 1.20), (400, 0.52, 0.90), (800, 0.515, 0.80), (1600, 0.478, 0.75), (3200, 0.454, 0.72), (6400, 0.428, 0.70), (12800, 0.41, 0.70), (25600, 0.395, 0.70), (51200, 0.38, 0.70), (float("inf"), 0.36, 0.70))
-#: The same for chunks: a whole chunk, and a shorter last one by the bands above.
+WHOLE_BANDS = (
+    (200, 0.40, 1.20), (400, 0.52, 0.90), (800, 0.515, 0.80), (1600, 0.478, 0.75), (3200, 0.454, 0.72),
+    (6400, 0.428, 0.70), (12800, 0.41, 0.70), (25600, 0.395, 0.70), (51200, 0.38, 0.70), (float("inf"), 0.36, 0.70),
+)
+#: The same for chunks: whole ones, the last reaching back to its full size; a shorter text by the bands above.
 CHUNK_BYTES, CHUNK_BAND = 2048, (0.454, 0.75)
 #: A text goes when more than this share of its chunks leaves the band.
 BAD_CHUNKS = 0.25
@@ -39,9 +42,7 @@ def compression(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, i
     ratio = len(packer.compress(data)) / len(data)
     low = high = n = 0
     for at in range(0, len(data), CHUNK_BYTES):
-        chunk = data[at : at + CHUNK_BYTES]
-        if at and len(chunk) < CHUNK_BYTES // 2:  # too short to judge beside whole ones
-            continue
+        chunk = data[max(0, min(at, len(data) - CHUNK_BYTES)) :][:CHUNK_BYTES]  # the last one reaches back
         lo, hi = CHUNK_BAND if len(chunk) == CHUNK_BYTES else band(len(chunk))
         r = len(packer.compress(chunk)) / len(chunk) if len(data) > CHUNK_BYTES else ratio
         low, high, n = low + (r < lo), high + (r > hi), n + 1
@@ -89,7 +90,7 @@ def compression_bands(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     base_failed: fewer than 50 words, or over half of the words in repeated three-word windows. kept:
     not base_failed, the whole ratio inside the band of the text's length, and at most a quarter of its
-    chunks outside theirs. Null and empty texts have no words: base_failed, not kept, ratio 0. Rows are
+    2048-byte chunks (the last reaches back to its full size) outside theirs. Null and empty texts have no words: base_failed, not kept, ratio 0. Rows are
     judged alone, so repeated rows give repeated results; an empty table gives no rows.
     """
 

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, written
 from .textkit import Bytes, byte_view, letter_words, portions
 
 #: Category and its 0/1 label as SQL over the labels table, in the chain's order.
@@ -24,6 +24,8 @@ CATEGORIES: Mapping[str, str] = {"low_quality": "1 - quality", "toxic": "toxic"}
 #: Bounds of the fit: labelled rows (by a hash of the key), words kept for each category.
 TRAIN_ROWS, WORDS = 12000, 250
 FOLDS, RIDGE, LEAST_ROWS = 3, 0.3, 3
+#: What stands for no fold in place of one that is left out.
+WHOLE = -1
 
 
 @dataclass
@@ -76,17 +78,31 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 25) ->
     return w
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
-    """Weights of each category's model and the limits with the best out-of-fold F1."""
+def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, columns: Mapping[int, np.ndarray] | None = None) -> tuple[list[np.ndarray], list[float]]:
+    """Weights of each category's model and the limits with the best out-of-fold F1.
+
+    ``columns``: the words that the models may use, chosen without each fold's rows, and under WHOLE by all
+    rows; by default all words. What a fold is predicted by has thus not seen its labels in any way.
+    """
     weights, limits, earlier = [], [], np.zeros((len(x), 0))
+
+    def fitted(rows: np.ndarray, chosen: np.ndarray, y: np.ndarray) -> np.ndarray:
+        w = fit(np.column_stack([x[rows][:, chosen], earlier[rows]]), y[rows])
+        out = np.zeros(1 + x.shape[1] + earlier.shape[1])
+        out[0], out[1 + np.flatnonzero(chosen)], out[1 + x.shape[1] :] = w[0], w[1 : 1 + chosen.sum()], w[1 + chosen.sum() :]
+        return out
+
+    every = {f: np.ones(x.shape[1], bool) for f in [WHOLE, *np.unique(folds).tolist()]}
+    columns = columns or every
     for k in range(labels.shape[1]):
-        seen, y = np.column_stack([x, earlier]), labels[:, k]
+        y = labels[:, k]
         unseen = np.full(len(y), y.mean() if len(y) else 0.0)
-        for f in np.unique(folds):
+        for f in np.unique(folds).tolist():
             test = folds == f
             if not test.all():
-                unseen[test] = probability(seen[test], fit(seen[~test], y[~test]))
-        weights.append(fit(seen, y) if len(y) else np.zeros(1 + seen.shape[1]))
+                w = fitted(~test, columns[f], y)
+                unseen[test] = probability(np.column_stack([x[test], earlier[test]]), w)
+        weights.append(fitted(np.ones(len(x), bool), columns[WHOLE], y) if len(y) else np.zeros(1 + x.shape[1] + k))
         grid = np.linspace(0.1, 0.9, 33)
         f1 = [2 * (y * (unseen >= g)).sum() / max(1, y.sum() + (unseen >= g).sum()) for g in grid]
         near = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
@@ -95,41 +111,55 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> tuple[lis
     return weights, limits
 
 
+def fold_of(key: Column, folds: int = FOLDS) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("fold")), F.lit(folds)).cast("int")
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: Mapping[str, str] = CATEGORIES, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, words: int = WORDS) -> Chain:
     """A chain from at most about ``rows`` labelled texts.
 
     A key labelled twice counts as in the category if any row says so; rows with a null label or key are
-    left out. The ``words`` words of each category with the greatest chi-square are counted in Spark;
-    the driver fits on the 0/1 matrix of the bounded sample.
+    left out. The bounded sample is read from the texts once and written. Its words are counted in Spark by
+    fold and label; for each fold the ``words`` words of each category with the greatest chi-square over the
+    other folds are chosen, and over all folds for the final models. The driver fits on the 0/1 matrix.
     """
     bounded_batches(docs.sparkSession)
     names = list(categories)
     said = labels.select(F.col(key).cast("long").alias("key"), *[F.expr(sql).cast("int").alias(n) for n, sql in categories.items()]).dropna()
     said = said.groupBy("key").agg(*[F.max(n).alias(n) for n in names])
-    total = said.count()
-    share = min(1.0, rows / max(1, total))
+    share = min(1.0, rows / max(1, said.count()))
     said = said.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < share * (1 << 20))
-    sample = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(F.broadcast(said), "key").select("key", "text", *names)
+    sample = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(F.broadcast(said), "key")
+    sample = written(sample.select("key", "text", fold_of(F.col("key")).alias("fold"), *names), "labelled")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in portions(whole, "text"):
                 w = letter_words(byte_view(batch.column(1)))
                 pairs = pd.DataFrame({"row": w.rows, "word": w.hashes()}).drop_duplicates()
-                rows = pairs["row"].to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(pairs["word"].to_numpy().view(np.int64)), *(pa.array(batch.column(2 + i).to_numpy(zero_copy_only=False)[rows].astype(np.int64)) for i in range(len(names)))], names=["word", *names])
+                at = pa.array(pairs["row"].to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(pairs["word"].to_numpy().view(np.int64)), *(c.take(at) for c in batch.columns[2:])], names=["word", "fold", *names])
 
-    n_all = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names]).first()
-    if not n_all["n"]:
+    kinds = ", ".join(f"{n} int" for n in ("fold", *names))
+    sizes = {r.fold: r for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names]).collect()}
+    if not sizes:
         return Chain(names, np.zeros(0, np.uint64), [np.zeros(1 + i) - 30 * (np.arange(1 + i) == 0) for i in range(len(names))], [0.5] * len(names))
-    counts = sample.mapInArrow(distinct, "word long, " + ", ".join(f"{n} long" for n in names)).groupBy("word").agg(F.count(F.lit(1)).alias("df"), *[F.sum(n).alias(n) for n in names]).where(F.col("df") >= LEAST_ROWS)
-    best: set[int] = set()
-    for n in names:
-        rate = float(n_all[n] or 0) / n_all["n"]
-        want = F.col("df") * F.lit(rate)
-        gain = (F.col(n) - want) * (F.col(n) - want) / (want * F.lit(1 - rate) + F.lit(1.0))
-        best |= {r[0] for r in counts.orderBy(gain.desc(), "word").limit(words).collect()}
-    known = np.sort(np.array(sorted(best), np.int64).view(np.uint64))
+    within = lambda c, f: F.sum(F.when(F.col("fold") != f, c).otherwise(0))
+    sums = [within(F.col(n) if n else F.lit(1), f).alias(f"{n or 'df'}_{f}") for f in (WHOLE, *sorted(sizes)) for n in ("", *names)]
+    counts = written(sample.mapInArrow(distinct, f"word long, {kinds}").groupBy("word").agg(*sums).where(F.col(f"df_{WHOLE}") >= LEAST_ROWS), "words")
+    best: dict[int, set[int]] = {}
+    for f in (WHOLE, *sorted(sizes)):
+        others = [r for k, r in sizes.items() if k != f]
+        total = sum(r["n"] for r in others)
+        best[f] = set()
+        for n in names if total else []:
+            rate = sum(r[n] for r in others) / total
+            df, hit = F.col(f"df_{f}"), F.col(f"{n}_{f}")
+            want = df * F.lit(rate)
+            gain = (hit - want) * (hit - want) / (want * F.lit(1 - rate) + F.lit(1.0))
+            best[f] |= {r[0] for r in counts.where(df >= LEAST_ROWS).orderBy(gain.desc(), "word").limit(words).collect()}
+    known = np.sort(np.array(sorted(set().union(*best.values())), np.int64).view(np.uint64))
+    columns = {f: np.isin(known, np.array(sorted(b), np.int64).view(np.uint64)) for f, b in best.items()}
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -138,15 +168,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: Mapping[str, str] = CA
                 lists: list[list[int]] = [[] for _ in range(batch.num_rows)]
                 for r, f in sorted(set(zip(where.tolist(), found.tolist(), strict=True))):
                     lists[r].append(f)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(2 + i) for i in range(len(names))), pa.array(lists, pa.list_(pa.int32()))], names=["key", *names, "found"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(lists, pa.list_(pa.int32()))], names=["key", "fold", *names, "found"])
 
-    table = sample.mapInArrow(rows_of, "key long, " + ", ".join(f"{n} int" for n in names) + ", found array<int>").toPandas().sort_values("key", kind="stable")
-    x = np.zeros((len(table), len(known)), np.float32)
+    table = sample.mapInArrow(rows_of, f"key long, {kinds}, found array<int>").toPandas().sort_values(["key", "fold", *names], kind="stable")
+    x = np.zeros((len(table), len(known)), np.uint8)
     for i, f in enumerate(table.found):
         x[i, f] = 1
-    folds = (table.key.to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
-    weights, limits = fit_chain(x, table[names].to_numpy(np.float64), folds)
-    return Chain(names, known, weights, limits)
+    weights, limits = fit_chain(x, table[names].to_numpy(np.float64), table.fold.to_numpy(), columns)
+    used = columns[WHOLE]
+    weights = [np.concatenate([w[:1], w[1 : 1 + len(known)][used], w[1 + len(known) :]]) for w in weights]
+    return Chain(names, known[used], weights, limits)
 
 
 def classifier_chain(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,13 +1,15 @@
 """URL filters: host and path rules first, then a weighted vocabulary.
 
 An Aho-Corasick automaton finds all terms of the vocabulary in one pass over the URL; a term counts
-where no letter or digit stands beside it. One strict term rejects, and so do soft terms whose weights
-reach the limit (by default: two different ones).
+where no letter or digit stands beside it. One strict term rejects, and so do several different soft terms
+whose weights reach the limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
+from pathlib import Path
 
 import ahocorasick
 import pyarrow as pa
@@ -16,10 +18,21 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-STRICT = ("casino", "porn", "xxx", "viagra", "hentai", "escort", "escorts", "sportsbook", "camgirls")
-#: Weight of each soft term; a URL goes when the weights of its different soft terms reach the limit.
-SOFT: Mapping[str, float] = {"adult": 1, "bet": 1, "bets": 1, "betting": 1, "bingo": 1, "bonus": 1, "cheap": 1, "crack": 1, "dating": 1, "free": 1, "gambling": 1, "jackpot": 1, "keygen": 1, "loan": 1, "loans": 1, "nude": 1, "payday": 1, "pharmacy": 1, "pills": 1, "poker": 1, "sex": 1, "slots": 1, "torrent": 1, "warez": 1, "win": 1}
-SOFT_LIMIT = 2.0
+#: The vocabulary that is used by default, and the weight from which soft terms reject: three light terms, or a
+#: heavy one and any other.
+TERMS, SOFT_LIMIT = Path(__file__).with_name("url_terms.tsv"), 2.5
+
+
+@lru_cache
+def vocabulary(path: str | Path = TERMS) -> tuple[list[str], dict[str, float]]:
+    """Strict terms and the weights of soft ones from a file of ``term <tab> strict|soft <tab> weight`` lines."""
+    rows = [line.split("\t") for line in Path(path).read_text(encoding="utf-8").splitlines() if line.strip() and line[0] != "#"]
+    wrong = [r for r in rows if len(r) != 3 or r[1] not in ("strict", "soft") or not r[0]]
+    if wrong:
+        raise ValueError(f"{path}: no term, kind and weight in {wrong[0]}")
+    return [t for t, kind, _ in rows if kind == "strict"], {t: float(w) for t, kind, w in rows if kind == "soft"}
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,13 +70,15 @@ def weighed(url: str, terms: ahocorasick.Automaton) -> tuple[int, int, float]:
     return sum(v[1] for v in found), sum(not v[1] for v in found), sum(v[2] for v in found if not v[1])
 
 
-def url_vocabulary(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, strict: Sequence[str] = STRICT, soft: Mapping[str, float] = SOFT, limit: float = SOFT_LIMIT) -> DataFrame:
+def url_vocabulary(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, strict: Sequence[str] | None = None, soft: Mapping[str, float] | None = None, limit: float = SOFT_LIMIT) -> DataFrame:
     """Every URL's host, path, rule and verdict, and its different strict and soft terms.
 
     The longest rule that fits decides; without one, a strict term or soft terms of weight ``limit``
     block. A null URL, or one without ``://``, has an empty host and path; its vocabulary still counts
-    (null: none, so allow). Rows are judged alone: repeated rows repeat, an empty table gives none.
+    (null: none, so allow). Rows are judged alone: repeated rows repeat, an empty table gives none. The terms
+    are those of ``TERMS`` unless given.
     """
+    strict, soft = vocabulary()[0] if strict is None else strict, vocabulary()[1] if soft is None else soft
     if not any([*strict, *soft]):
         raise ValueError("the vocabulary is empty")
 
@@ -80,8 +95,9 @@ def url_vocabulary(pages: DataFrame, key: str = "page_id", url: str = "url", rul
     return parts.select(F.col("key").alias(key), "host", "path", rule_of(host, path, rules, 1).alias("rule"), F.coalesce(rule_of(host, path, rules, 0), own).alias("verdict"), F.col("found.strict").alias("n_strict"), F.col("found.soft").alias("n_soft"))
 
 
-def oracle(strict: Sequence[str] = STRICT, soft: Mapping[str, float] = SOFT, rules: Sequence[tuple[str, str, str]] = RULES, limit: float = SOFT_LIMIT) -> str:
+def oracle(rules: Sequence[tuple[str, str, str]] = RULES, limit: float = SOFT_LIMIT) -> str:
     """The same as DuckDB SQL over ``pages``."""
+    strict, soft = vocabulary()
     has = lambda t: f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS INTEGER)"
     n_strict = " + ".join(map(has, strict))
     n_soft = " + ".join(map(has, soft))
