@@ -305,6 +305,12 @@ def test_features_of_nothing_are_null(spark):
     assert [got[s] for s in ST.STATS] == [None] * 11
 
 
+@pytest.mark.parametrize("value", [0.0, 2.5])
+def test_constant_series_has_no_spectrum(value):
+    assert ST.one_spectrum(np.full(5, value), 4.0, 8) == [0.0, 0.0, *[None] * 8]
+    assert ST.one_spectrum(np.full(3, value), 4.0, 8) == [None] * 10
+
+
 @pytest.mark.parametrize("n", [4, 5, 16, 33])
 def test_spectra_agree(spark, n):
     x = np.sin(np.arange(n) * 1.1) + np.arange(n) * 0.1

@@ -127,8 +127,9 @@ flat AS (SELECT record_id, window_id, series, i, m, v - (avg(v) OVER w + covar_p
 f AS (SELECT record_id, window_id, series, m, k, sum(x * cos(2 * {math.pi!r} * ((k * i) % m) / m)) AS c, sum(x * sin(2 * {math.pi!r} * ((k * i) % m) / m)) AS s FROM (SELECT *, unnest(generate_series(1, m // 2)) AS k FROM flat) GROUP BY ALL),
 p AS (SELECT *, k * hz / m AS freq, (CASE WHEN 2 * k = m THEN 1 ELSE 2 END) * (c * c + s * s) / (hz * m) AS power FROM f JOIN clock USING (record_id)),
 q AS (SELECT *, sum(power) OVER w AS total, count(*) OVER w AS nk FROM p WINDOW w AS (PARTITION BY record_id, window_id, series)),
-spectra AS (SELECT record_id, window_id, series, -sum(power / total * ln(power / total + 1e-12)) / ln(any_value(nk)) AS spectral_entropy, arg_max(freq, power) AS dominant_hz,
-  {", ".join(f"sum(CASE WHEN freq >= {b} * hz / 16 AND freq < {b + 1} * hz / 16 THEN power ELSE 0 END) / (any_value(total) + 1e-12) AS band_{b}" for b in range(8))} FROM q GROUP BY record_id, window_id, series),
+spectra AS (SELECT record_id, window_id, series, CASE WHEN any_value(total) > 0 THEN -sum(power / total * ln(power / total + 1e-12)) / ln(any_value(nk)) ELSE 0 END AS spectral_entropy,
+  CASE WHEN any_value(total) > 0 THEN arg_max(freq, power) ELSE 0 END AS dominant_hz,
+  {", ".join(f"CASE WHEN any_value(total) > 0 THEN sum(CASE WHEN freq >= {b} * hz / 16 AND freq < {b + 1} * hz / 16 THEN power ELSE 0 END) / (any_value(total) + 1e-12) END AS band_{b}" for b in range(8))} FROM q GROUP BY record_id, window_id, series),
 facts AS (SELECT record_id, window_id, count(*) AS rows, any_value(w_end - w_start) AS duration FROM chosen GROUP BY record_id, window_id),
 valid AS (SELECT record_id, window_id, count(value) / count(*) AS valid_ratio FROM chosen JOIN samples USING (record_id, seq) GROUP BY record_id, window_id)
 SELECT record_id, window_id, series, n, {", ".join(r(c, c, 5) for c in ("mean", "std", "min", "max", "median", "q10", "q90", "iqr", "rms", "diff_std", "diff_abs_max", "spectral_entropy", "dominant_hz", *(f"band_{b}" for b in range(8)), "duration", "valid_ratio"))}, rows,
