@@ -364,6 +364,26 @@ def test_mixed_text_is_cut_into_spans(spark, docs):
     assert abs(r.spans[0].end - len(english)) < 60 and 0.1 < r.score < 0.8
 
 
+def plain_viterbi(s, penalty):
+    """Labels of one text, word by word; ties stay, then go to the lowest."""
+    value, back = list(s[0]), []
+    for row in s[1:]:
+        top = max(range(len(row)), key=lambda k: (value[k], -k))
+        back.append([top if value[top] - penalty > value[k] else k for k in range(len(row))])
+        value = [max(value[k], value[top] - penalty) + row[k] for k in range(len(row))]
+    path = [max(range(len(value)), key=lambda k: (value[k], -k))]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    return path[::-1]
+
+
+def labels_of(scores, sizes, penalty):
+    ends = np.cumsum(sizes)
+    out = np.full(len(scores), -1)
+    langid.viterbi(scores, ends - sizes, ends, out, penalty)
+    return out
+
+
 def test_viterbi_equals_all_paths():
     import itertools
 
@@ -372,7 +392,22 @@ def test_viterbi_equals_all_paths():
         s = rng.normal(0, 4, (5, 3))
         value = lambda p: sum(s[i, k] for i, k in enumerate(p)) - 3 * sum(a != b for a, b in zip(p, p[1:]))
         best = max(itertools.product(range(3), repeat=5), key=value)
-        assert value(langid.viterbi(s, 3.0)) == pytest.approx(value(best))
+        assert value(labels_of(s, np.array([5]), 3.0)) == pytest.approx(value(best))
+        assert value(plain_viterbi(s, 3.0)) == pytest.approx(value(best))
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_viterbi_of_many_texts_is_that_of_each(whole):
+    """Texts of any length, none and one word included, in any order; whole scores make ties."""
+    rng = np.random.default_rng(8)
+    sizes = np.concatenate([[0, 1, 1, 40], rng.integers(0, 30, 60), [0]])
+    scores = rng.normal(0, 3, (sizes.sum(), 4))
+    scores = np.round(scores) if whole else scores
+    got, ends = labels_of(scores, sizes, 3.0), np.cumsum(sizes)
+    for n, end in zip(sizes, ends):
+        if n:
+            assert list(got[end - n : end]) == plain_viterbi(scores[end - n : end], 3.0)
+    assert len(labels_of(scores[:0], np.zeros(2, int), 3.0)) == 0
 
 
 def test_texts_kept_from_the_search_have_one_best_label():
@@ -386,7 +421,7 @@ def test_texts_kept_from_the_search_have_one_best_label():
     doubt = model.may_switch(scores, best[rows], rows, first)
     assert 0 < doubt.sum() < 300
     for i in np.flatnonzero(~doubt):
-        assert set(langid.viterbi(scores[first[i] : first[i + 1]])) == {best[i]}
+        assert set(plain_viterbi(scores[first[i] : first[i + 1]], langid.SWITCH)) == {best[i]}
 
 
 def test_language_odd_rows(odd, none, docs):

@@ -65,8 +65,8 @@ class Model:
         totals = sums[first[1:]] - sums[first[:-1]]
         best = totals.argmax(axis=1) if len(self.languages) else np.zeros(w.n, int)
         out = best[w.rows] if len(w.rows) else np.zeros(0, int)
-        for i in np.flatnonzero(self.may_switch(scores, out, w.rows, first)):
-            out[first[i] : first[i + 1]] = viterbi(scores[first[i] : first[i + 1]])
+        searched = np.flatnonzero(self.may_switch(scores, out, w.rows, first))
+        viterbi(scores, first[searched], first[searched + 1], out)
         return out, first, totals
 
     def may_switch(self, scores: np.ndarray, label: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -85,22 +85,37 @@ class Model:
         return out
 
 
-def viterbi(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
-    """The labels with the greatest sum of scores less ``penalty`` a switch (ties: stay, then lowest)."""
-    n, k = scores.shape
-    back = np.empty((n, k), np.int16 if k < 32768 else np.int32)
+def viterbi(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: np.ndarray, penalty: float = SWITCH) -> None:
+    """Writes to ``out`` the labels with the greatest sum of scores less ``penalty`` a switch (ties: stay, then
+    lowest) of each text, which has the rows from its start to its end of ``scores``.
+
+    All texts go in step, the longest first, so that the texts with a word t are the first ones of them.
+    """
+    order = np.argsort(starts - ends, kind="stable")
+    starts, lengths = starts[order], (ends - starts)[order]
+    starts, lengths = starts[lengths > 0], lengths[lengths > 0]
+    if not len(starts):
+        return
+    k = scores.shape[1]
+    shared = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")  # texts that have a word t
+    places = np.concatenate([[0], np.cumsum(shared)])
+    back = np.empty((places[-1], k), np.int16 if k < 32768 else np.int32)
     stay = np.arange(k)
-    value = scores[0].copy()
-    for t in range(1, n):
-        j = int(value.argmax())
-        switch = value[j] - penalty > value
-        back[t] = np.where(switch, j, stay)
-        value = np.where(switch, value[j] - penalty, value) + scores[t]
-    out = np.empty(n, int)
-    out[-1] = value.argmax()
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
-    return out
+    value = scores[starts].copy()
+    for t in range(1, lengths[0]):
+        m = shared[t]
+        now = value[:m]
+        top = now.argmax(axis=1)
+        moved = now[np.arange(m), top][:, None] - penalty
+        back[places[t] : places[t + 1]] = np.where(moved > now, top[:, None], stay)
+        np.maximum(now, moved, out=now)
+        now += scores[starts[:m] + t]
+    label = value.argmax(axis=1)
+    for t in range(lengths[0] - 1, -1, -1):
+        m = shared[t]
+        out[starts[:m] + t] = label[:m]
+        if t:
+            label[:m] = back[places[t] + np.arange(m), label[:m]]
 
 
 def train(docs: DataFrame, chosen: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
