@@ -1,7 +1,7 @@
 """Command line: python -m tidewave.cli all|inspect|infer|clean-cache ...
 
-Recordings are Parquet files in a folder, in pairs by name: ``radar_...`` with any columns (a clock is found
-among them) and ``ir_...`` with t, activity and detected. Window scores (record_id, window_id, class, prob) come
+Recordings are Parquet files or MATLAB containers in a folder, in pairs by name: ``radar_...`` with any columns (a
+clock is found among them) and ``ir_...`` with t, activity and detected. Window scores (record_id, window_id, class, prob) come
 from whatever model made them.
 """
 
@@ -26,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config", default="config.yaml")
     verbs = p.add_subparsers(dest="verb", required=True)
     a = verbs.add_parser("all", help="pair, inspect, align, cut windows (cached), folds, metrics; status 2 where inspection fails")
-    a.add_argument("--data", help="folder of recordings, radar_<batch>_class-<label>_<time>.parquet and ir_...")
+    a.add_argument("--data", help="folder of recordings, radar_<batch>_class-<label>_<time>.parquet (or .mat) and ir_...")
     a.add_argument("--out")
     a.add_argument("--scores", help="window scores of a model, to evaluate")
     a.add_argument("--profile")

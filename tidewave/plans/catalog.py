@@ -5,8 +5,11 @@ Times of ``events`` span 30 days, so windows are two days long and hop by one; r
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from ..operators import stats as ST
 from ..operators import timeaxis as T
 from ..operators import windows as W
 from ..sources import files as FI
+from ..sources import mat as MAT
 from ..sources import sinks as SK
 from ..sources.settings import Settings
 from ..streaming import windows as STW
@@ -138,6 +142,28 @@ def array_table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(FI.array_table(rows, "vec_id", "data", "names", "nrows"))
 
 
+def containers(emb: DataFrame) -> DataFrame:
+    """A container for each vector (path, content): its first two numbers, and all as 16 rows of 4 columns."""
+
+    def variable(name: bytes, v: np.ndarray) -> bytes:
+        return struct.pack("<5i", 0, *v.shape, 0, len(name) + 1) + name + b"\0" + v.astype("<f8").tobytes("F")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [np.array(v, float) for v in batch.column(1).to_pylist()]
+            content = [variable(b"few", v[:2].reshape(2, 1)) + variable(b"m", v.reshape(16, 4, order="F")) for v in vectors]
+            yield pa.RecordBatch.from_pydict({"path": batch.column(0), "content": pa.array(content, pa.binary())})
+
+    return emb.select(F.col("vec_id").cast("string"), "embedding").mapInArrow(packed, "path string, content binary")
+
+
+@query
+def container_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The larger variable of each container as a table."""
+    emb = table(spark, sf_dir, "embeddings").where("vec_id IS NOT NULL")
+    return rounded(MAT.tables(containers(emb)).withColumnRenamed("path", "vec_id"))
+
+
 @query
 def transposed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five rows of six columns: the shape says that they are columns."""

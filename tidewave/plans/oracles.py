@@ -158,6 +158,7 @@ SELECT l_linenumber, CAST(sum(coalesce(nullif(f, 0), CAST(round_even(nullif(d, 0
 c AS (SELECT vec_id, embedding, rw, unnest(range(11)) AS c FROM r)
 SELECT vec_id, CAST(c AS INTEGER) AS "column", CASE WHEN c < 8 THEN 'a_b_' || CAST(c + 1 AS VARCHAR) WHEN c < 10 THEN 'a_b_' || CAST(c - 7 AS VARCHAR) || '_2' ELSE 'a_b_1_3' END AS name, CAST(rw AS INTEGER) AS "row",
   {r('CAST(CASE WHEN c < 8 THEN embedding[rw * 8 + c + 1] WHEN c < 10 THEN embedding[(c - 8) * 8 + rw + 1] WHEN rw < 5 THEN embedding[rw + 1] END AS DOUBLE)', 'value')} FROM c""",
+    "container_tables": "SELECT CAST(vec_id AS VARCHAR) AS vec_id, rw AS seq, " + ", ".join(r(f"CAST(embedding[{16 * c} + rw + 1] AS DOUBLE)", f"m_{c}") for c in range(4)) + " FROM (SELECT vec_id, embedding, unnest(range(16)) AS rw FROM embeddings WHERE vec_id IS NOT NULL)",
     "transposed_rows": "SELECT CAST(c - 1 AS INTEGER) AS \"row\", " + ", ".join(f"max(CASE WHEN r_regionkey = {k} THEN CASE WHEN c = 6 THEN CAST(length(r_name) AS DOUBLE) ELSE r_regionkey * CAST(c AS DOUBLE) END END) AS signal_{k}" for k in range(5)) + " FROM region, range(1, 7) t(c) GROUP BY c",
     "vector_summaries": f"WITH {SUMMARY_OF} SELECT vec_id, {r('list_avg(a)', 'mean')}, {r('list_stddev_pop(a)', 'std')}, {r('list_max(a)', 'max')}, {r('list_avg(list_transform(a, lambda x: x * x))', 'energy')} FROM aggregates",
     "vector_columns": "SELECT vec_id, " + ", ".join(r(f"abs(CAST(embedding[{i}] AS DOUBLE))", f"v_{i}") for i in range(1, 65)) + " FROM embeddings",

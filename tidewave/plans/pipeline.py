@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from typing import Any
 
@@ -18,6 +19,7 @@ from ..operators import selection as SEL
 from ..operators import timeaxis as T
 from ..operators import windows as W
 from ..sources import files as FI
+from ..sources import mat as MAT
 from ..sources import sinks as SK
 from ..sources.settings import Settings
 
@@ -92,11 +94,26 @@ def keyed(records: DataFrame, settings: Settings, schema: list[str]) -> DataFram
     return records.withColumn("cache_key", S.record_key(parts))
 
 
+#: Endings of recordings: Parquet and MATLAB containers.
+TABLES = ("parquet", "mat")
+
+
 def recorded(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """All recordings of a kind in a folder as one table, with record_id and the rows' numbers in their files."""
-    files = spark.read.option("pathGlobFilter", f"{''.join(f'[{c}{c.upper()}]' for c in kind)}_*.parquet").option("mergeSchema", "true").parquet(folder)
-    stem = F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.[^.]*$", "")
-    return files.select(FI.parsed_name(stem)["record_id"].alias("record_id"), F.col("_metadata.row_index").alias("seq"), *files.columns).where("record_id IS NOT NULL")
+    """All recordings of a kind in a folder as one table, with record_id and the rows' numbers in their files.
+    Columns that a recording lacks are null."""
+    files = FI.discovered(spark, folder, TABLES).where(F.col("kind") == kind)
+    endings = {r[0] for r in files.select(F.substring_index("path", ".", -1)).distinct().collect()}  # two at most
+    pattern = f"{''.join(f'[{c}{c.upper()}]' for c in kind)}_*"
+    tables = []
+    if "mat" in endings:
+        stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+        found = MAT.tables(MAT.listing(spark, folder, f"{pattern}.mat").where(FI.parsed_name(stem).isNotNull()))
+        tables.append(found.select(FI.parsed_name(stem)["record_id"].alias("record_id"), "seq", *[F.col(f"`{c}`") for c in found.columns[2:]]))
+    if "parquet" in endings or not endings:
+        found = spark.read.option("pathGlobFilter", f"{pattern}.parquet").option("mergeSchema", "true").parquet(folder)
+        stem = F.regexp_replace(F.url_decode(F.col("_metadata.file_name")), r"\.[^.]*$", "")
+        tables.append(found.select(FI.parsed_name(stem)["record_id"].alias("record_id"), F.col("_metadata.row_index").alias("seq"), *[F.col(f"`{c}`") for c in found.columns]))
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables).where("record_id IS NOT NULL")
 
 
 def evaluated(records: DataFrame, scores: DataFrame, settings: Settings) -> dict[str, Any]:
@@ -113,7 +130,7 @@ def whole_run(spark: SparkSession, settings: Settings, folder: str, cache: str,
     and ``result`` below ``out`` and gives the result document."""
     SK.reset(spark, out)
     work = f"{out}/work"
-    files = SK.stored(FI.checked_size(FI.discovered(spark, folder, ("parquet",))), f"{work}/files")
+    files = SK.stored(FI.checked_size(FI.discovered(spark, folder, TABLES)), f"{work}/files")
     pairs = FI.pair_report(files)
     bad = [r.asDict() for r in pairs.where("status <> 'ok'").select("record_id", "status").orderBy("record_id").limit(100).collect()]
     result: dict[str, Any] = {"profile": settings.profile, "environment": SK.environment(spark)}
