@@ -23,6 +23,8 @@ FEATURES = 1 << 15
 UNKNOWN = "und"
 #: What a switch of language within a text costs, in nats, and what a word costs in a language that does not use its script.
 SWITCH, WRONG_SCRIPT = 15.0, 50.0
+#: Words whose best ways are kept as values before they become steps back.
+STEPS = 4096
 #: A language uses a script that has this share of its letters' words.
 SCRIPT_SHARE = 0.005
 #: About so many training documents are taken of each language (by a hash of the key), as a bound.
@@ -96,26 +98,34 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: np.nd
     starts, lengths = starts[lengths > 0], lengths[lengths > 0]
     if not len(starts):
         return
-    k = scores.shape[1]
     shared = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")  # texts that have a word t
-    places = np.concatenate([[0], np.cumsum(shared)])
-    back = np.empty((places[-1], k), np.int16 if k < 32768 else np.int32)
-    stay = np.arange(k)
+    steps = np.repeat(np.arange(lengths[0]), shared)
+    places = [0, *np.cumsum(shared).tolist()]
+    at = starts[np.arange(places[-1]) - np.repeat(places[:-1], shared)] + steps  # word by word, each text's row of scores
+    back = np.empty((places[-1], scores.shape[1]), np.int16 if scores.shape[1] < 32768 else np.int32)
     value = scores[starts].copy()
-    for t in range(1, lengths[0]):
-        m = shared[t]
-        now = value[:m]
-        top = now.argmax(axis=1)
-        moved = now[np.arange(m), top][:, None] - penalty
-        back[places[t] : places[t + 1]] = np.where(moved > now, top[:, None], stay)
-        np.maximum(now, moved, out=now)
-        now += scores[starts[:m] + t]
-    label = value.argmax(axis=1)
+    for a in range(1, lengths[0], STEPS):
+        b = min(lengths[0], a + STEPS)
+        first, part = places[a], scores[at[places[a] : places[b]]]
+        seen = np.empty_like(part)
+        for t in range(a, b):
+            i, j = places[t] - first, places[t + 1] - first
+            now = value[: j - i]
+            seen[i:j] = now
+            moved = now.max(axis=1, keepdims=True)
+            moved -= penalty
+            np.maximum(now, moved, out=now)
+            now += part[i:j]
+        top = seen.argmax(axis=1)[:, None]
+        back[first : places[b]] = np.where(np.take_along_axis(seen, top, 1) - penalty > seen, top, np.arange(seen.shape[1]))
+    label, rank = value.argmax(axis=1), np.arange(len(starts))
+    path = np.empty(places[-1], back.dtype)
     for t in range(lengths[0] - 1, -1, -1):
-        m = shared[t]
-        out[starts[:m] + t] = label[:m]
+        i, j = places[t], places[t + 1]
+        path[i:j] = label[: j - i]
         if t:
-            label[:m] = back[places[t] + np.arange(m), label[:m]]
+            label[: j - i] = back[i:j][rank[: j - i], label[: j - i]]
+    out[at] = path
 
 
 def train(docs: DataFrame, chosen: Column | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
