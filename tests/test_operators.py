@@ -1,6 +1,9 @@
 """Edge cases and NumPy comparisons of single operators."""
 
+import functools
+import itertools
 import math
+import operator
 
 import numpy as np
 import pytest
@@ -16,6 +19,7 @@ from tidewave.operators import selection as SEL
 from tidewave.operators import stats as ST
 from tidewave.operators import timeaxis as T
 from tidewave.operators import windows as W
+from tidewave.plans import catalog
 from tidewave.sources import files as FI
 from tidewave.sources import settings, sinks
 
@@ -27,6 +31,26 @@ def one(spark, expr):
     return spark.range(1).select(expr.alias("x")).first().x
 
 
+def test_exact_mean_in_any_order(spark):
+    cents = [7.21, 94.01, 72.15, 14.72, 11.91]
+    orders = list(itertools.permutations(cents))
+    assert {functools.reduce(operator.add, o) / 5 > 40 for o in orders} == {False, True}  # by order
+    rows = [(f"{i}", v) for i, o in enumerate(orders) for v in o] + [("null", None), ("tiny", 1e-30), ("tiny", 3e-30), ("huge", 1e300), ("huge", 1e300), ("most", 9e19), ("most", 9e19)]
+    found = {r.k: r.m for r in spark.createDataFrame(rows, "k string, v double").coalesce(1).groupBy("k").agg(S.exact_mean(F.col("v")).alias("m")).collect()}
+    assert (found.pop("null"), found.pop("tiny"), found.pop("huge"), found.pop("most")) == (None, 2e-30, 1e300, 9e19)
+    assert set(found.values()) == {40.0}
+
+
+def test_channel_means_at_the_bound(spark, tmp_path):
+    """A mean of exactly 40 is not over 40, however the rows lie in files."""
+    cents = [7.21, 94.01, 72.15, 14.72, 11.91]
+    over = next(o for o in itertools.permutations(cents) if functools.reduce(operator.add, o) / 5 > 40)
+    rows = [(i, 1, "view", v) for i, v in enumerate(over)] + [(9, 1, "click", 50.0)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id")).cast("timestamp_ntz"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.channel: r.value for r in catalog.channel_lookup(spark, str(tmp_path)).collect()} == {"view": 0.0, "click": 50.0}
+
+
 def test_missing_is_null(spark):
     df = spark.createDataFrame([(1.0,), (NAN,), (INF,), (-INF,), (None,)], "v double")
     assert [r.x for r in df.select(S.finite(F.col("v")).alias("x")).collect()] == [1.0, None, None, None, None]

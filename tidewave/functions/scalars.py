@@ -23,6 +23,14 @@ def fixed(value: Column, digits: int = 6) -> Column:
     return F.round(value, digits) + F.lit(0.0)
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean of a group's doubles as they are written, rounded once: the same in any order of the rows. Where a value
+    has no exact decimal with 18 places, or the sum none with 38 digits, the plain average."""
+    d = value.try_cast("decimal(38,18)")
+    exact = F.bool_and(value.isNull() | F.coalesce(d.cast("double") == value, F.lit(False)))
+    return F.coalesce(F.when(exact, F.try_avg(d).cast("double")), F.avg(value))
+
+
 def clean_name(name: Column) -> Column:
     """Runs of anything but ASCII letters, digits, ``_`` and common Han characters become ``_``; ends
     are stripped of it; what is left empty is ``unnamed``."""

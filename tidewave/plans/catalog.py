@@ -380,7 +380,7 @@ def channel_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def channel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
-    means = s.groupBy("record_id", "channel").agg(F.avg("value").alias("value")).where("value > 40")
+    means = s.groupBy("record_id", "channel").agg(S.exact_mean(F.col("value")).alias("value")).where("value > 40")
     return rounded(SEL.looked_up(means, SEL.chosen_channels(s, s.select("record_id").distinct().count(), 4), ["record_id"]).select("record_id", "channel", "value"))
 
 
