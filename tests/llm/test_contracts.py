@@ -879,6 +879,33 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(1, n + 1)}, 2000: 1000}
 
 
+def test_few_rows_take_few_tasks(spark, monkeypatch):
+    """However many shuffle partitions there are, tables of a few rows are not written by as many tasks."""
+    files: dict[str, int] = {}
+
+    def counted(df, name):
+        table = shared.written(df, name)
+        files[name] = max(files.get(name, 0), len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(components, "written", counted)
+    monkeypatch.setattr(setsketch, "written", counted)
+    now = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in now}
+    texts = [(i, " ".join(f"w{i // 3}x{j}" for j in range(40 + i % 3))) for i in range(600)]
+    try:
+        for name, value in now.items():
+            spark.conf.set(name, value)
+        found = setsketch.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), k=2).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {(r.doc_id, r.component_id) for r in found} == {(i, i // 3 * 3) for i in range(600)}
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert {name: n for name, n in files.items() if name in ("shared", "buckets", "leaders", "pairs", "likely", "links", "edges", "large-star", "small-star") and n > most} == {}
+
+
+
 # 10
 
 

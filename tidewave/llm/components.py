@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import in_few, written
 
 
 #: Edges from which a join's side is worth a table of its own.
@@ -26,21 +26,24 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges stay the same; every node then points to
     its component's smallest node. Minima are combined before the shuffle, so a hub is no single task's;
-    steps are logarithmic in the number of nodes. Nodes without an edge have no row.
+    steps are logarithmic in the number of nodes. Nodes without an edge have no row. Few edges take few tasks,
+    however many shuffle partitions there are.
     """
-    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    rows = edges.count()
+    edges = written(in_few(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), rows), "edges")
     state = _state(edges)
     if not state[0]:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(most):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sided(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), state)
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large-star")
+        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = written(in_few(in_few(large, 2 * state[0]).distinct(), 2 * state[0]), "large-star")
         lowest = sided(large.groupBy("u").agg(F.min("v").alias("m")), state)
         joined = large.join(lowest.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
-        small = joined.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionAll(lowest.select("u", F.col("m").alias("v"))).distinct()
-        edges, before = written(small, "small-star"), state
+        joined = in_few(joined, 2 * state[0])
+        small = joined.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionAll(in_few(lowest, 2 * state[0]).select("u", F.col("m").alias("v"))).distinct()
+        edges, before = written(in_few(small, 2 * state[0]), "small-star"), state
         state = _state(edges)
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

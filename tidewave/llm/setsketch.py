@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bounded_batches, fits, own_nodes, with_heavy, written
+from .shared import bounded_batches, fits, in_few, own_nodes, with_heavy, written
 from .textkit import Bytes, Words, byte_view, mix, pair_hash, portions, words
 
 #: Base, rate and largest exponent of the registers (two bytes each).
@@ -27,6 +27,8 @@ BANDS, ROWS = 36, 6
 #: Rounds in which each bucket holds its sets against one of them. Afterwards components of more than SMALL
 #: sets, and buckets with more than CROWD sets of smaller ones, are met in blocks of about ELEMENTS elements.
 ROUNDS, SMALL, CROWD, ELEMENTS = 2, 16, 32, 16384
+#: Pairs that a task holds against each other by their registers, and by their full sets.
+ESTIMATED, CONFIRMED = 20_000, 2000
 #: A pair is dropped unverified when its likelihood at the wanted similarity is so far (in nats) below the best; 12 nats are 4.9 standard deviations.
 DOUBT = 12.0
 
@@ -157,7 +159,8 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 keep = likely(matrix(ru), matrix(rv), nu.to_numpy(), nv.to_numpy(), percent / 100)
                 yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(keep))
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(judged, "u long, v long")
+    both = pairs.join(a, "u").join(b, "v").select("u", "v", "nu", "nv", "ru", "rv")
+    return in_few(both, pairs.count(), ESTIMATED).mapInArrow(judged, "u long, v long")
 
 
 def full_sets(ids: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -177,8 +180,9 @@ def full_sets(ids: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
-    if pairs.isEmpty():
+    """The pairs (u, v), each given once, whose full sets have 100 * intersection >= percent * union."""
+    rows = pairs.count()
+    if not rows:
         return pairs
     sets = full_sets(pairs.select(F.col("u").alias("id")).unionAll(pairs.select(F.col("v").alias("id"))), nodes, k)
 
@@ -189,7 +193,8 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataF
 
     a = sets.select(F.col("id").alias("u"), F.col("members").alias("x"))
     b = sets.select(F.col("id").alias("v"), F.col("members").alias("y"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(compared, "u long, v long").distinct()
+    both = pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y")
+    return in_few(both, rows, CONFIRMED).mapInArrow(compared, "u long, v long")
 
 
 def alike(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -281,8 +286,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
 
     bands = written(proposed(single), "bands")
     # what a hot band or hub is joined with is written first: then both sides are plain exchanges, which are split
-    shared = written(bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("band"), "shared")
-    members = written(bands.join(shared, "band"), "buckets")
+    shared = written(in_few(bands.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("band"), bands.count()), "shared")
+    members = written(in_few(bands.join(shared, "band"), bands.count()), "buckets")
+    in_buckets = members.count()
 
     near = lambda a, b: F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
     groups: DataFrame | None = None
@@ -293,23 +299,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
             return members.withColumn("component", F.col("id"))
         placed = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
         several = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        return written(placed.join(written(several, "several"), "band"), "mixed")
+        return written(in_few(placed.join(written(in_few(several, in_buckets), "several"), "band"), in_buckets), "mixed")
 
     def joined(links: DataFrame) -> DataFrame:
+        links = written(links, "links")
         if groups is not None:
-            links = written(links, "links")
             if links.isEmpty():
                 return groups
             links = links.unionAll(groups.select(F.col("node").alias("u"), F.col("component").alias("v")))
         return written(components(links), "groups")
 
     def linked(pairs: DataFrame) -> DataFrame:
+        pairs = written(in_few(pairs, in_buckets), "pairs")
         return confirmed(written(estimated(pairs, single, percent), "likely"), nodes, k, percent)
 
     for r in range(ROUNDS):
         rows = mixed()
-        leaders = written(rows.groupBy("band").agg(F.min(F.struct((F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))).alias("order"), "id", "n", "component")).alias("l")).select("band", F.col("l.id").alias("leader"), F.col("l.n").alias("n_leader"), F.col("l.component").alias("c_leader")), "leaders")
-        stars = rows.join(leaders, "band").where((F.col("component") != F.col("c_leader")) & near(F.col("n"), F.col("n_leader"))).select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct()
+        leaders = written(in_few(rows.groupBy("band").agg(F.min(F.struct((F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))).alias("order"), "id", "n", "component")).alias("l")).select("band", F.col("l.id").alias("leader"), F.col("l.n").alias("n_leader"), F.col("l.component").alias("c_leader")), in_buckets), "leaders")
+        stars = in_few(rows.join(leaders, "band").where((F.col("component") != F.col("c_leader")) & near(F.col("n"), F.col("n_leader"))).select(F.col("id").alias("u"), F.col("leader").alias("v")), in_buckets).distinct()
         groups = joined(linked(stars))
 
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= SMALL).select("component", F.lit(True).alias("large"))

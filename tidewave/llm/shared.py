@@ -52,6 +52,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_few(df: DataFrame, rows: int, per: int = 50_000) -> DataFrame:
+    """``df``, which has at most about ``rows`` rows, in no more tasks than two for each core or one for ``per`` rows: where
+    there are more shuffle partitions than that, a task takes several of them, one after another. Nothing is shuffled."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // per)))
+
+
 def mounted_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one as a path that ``open`` and ``mmap`` take on every machine."""
     folder = shared_folder(spark)
