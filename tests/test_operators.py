@@ -268,6 +268,22 @@ def test_hopping_windows(spark, span):
     assert [x for r in got for x in (r.w_start, r.w_end)] == pytest.approx([x for w in want for x in w])
 
 
+@pytest.mark.parametrize("span", [(0.0, 14.9), (1.0, 100.3), (0.0, 3000.0), (0.0, 100_003.5)])
+def test_hopping_windows_without_a_limit(spark, span):
+    got = W.hopping(spark.createDataFrame([("r", *span)], "record_id string, start double, end double"), 12.0, 6.0).orderBy("window_id").collect()
+    want = reference_windows(*span, 12.0, 6.0, 10**9)
+    assert [(r.w_start, r.w_end) for r in got] == want
+
+
+def test_window_feature_rows_to_the_end_of_a_record(spark, tmp_path):
+    """Twenty days give eighty windows of six hours, and one for what is left."""
+    rows = [(i, 1, "view", float(i % 7)) for i in range(82)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id") * 21300).cast("timestamp_ntz"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = catalog.window_feature_rows(spark, str(tmp_path)).where("series = 'col__view'").collect()
+    assert sorted(r.window_id for r in found) == list(range(80))
+
+
 def test_even_choice_rounds_halves_to_even(spark):
     for n in (1, 2, 3, 7, 10):
         rows = spark.range(n).select(F.lit("r").alias("record_id"), F.col("id").alias("seq"))

@@ -10,18 +10,20 @@ from pyspark.sql import functions as F
 SLACK = 1e-6
 
 
-def hopping(spans: DataFrame, length: float, stride: float, most: int = 240) -> DataFrame:
+def hopping(spans: DataFrame, length: float, stride: float, most: int | None = None) -> DataFrame:
     """spans(record_id, start, end, ...) -> a row for each window: window_id, w_start, w_end.
 
     A span up to ``length`` is one window; else windows start every ``stride`` while they fit, and one more
-    ends with the span if over a quarter of a length is left uncovered. At most ``most``, that one included.
-    An empty span has none.
+    ends with the span if over a quarter of a length is left uncovered. All of them, or the first ``most``
+    where it is given, that one included. An empty span has none.
     """
     start, end = F.col("start"), F.col("end")
-    n = F.least(F.lit(most), F.floor((end - start - length + SLACK) / stride).cast("int") + 1)
+    n = F.floor((end - start - length + SLACK) / stride).cast("int") + 1
+    n = n if most is None else F.least(F.lit(most), n)
     fits = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct((start + k * stride).alias("w_start"), (start + k * stride + length).alias("w_end")))
     tail = F.array(F.struct(F.greatest(start, end - length).alias("w_start"), end.alias("w_end")))
-    late = (start + (n - 1) * stride + length < end - 0.25 * length) & (n < most)
+    late = start + (n - 1) * stride + length < end - 0.25 * length
+    late = late if most is None else late & (n < most)
     one = F.array(F.struct(start.alias("w_start"), end.alias("w_end")))
     windows = F.when(end <= start, None).when(end - start <= length, one).when(late, F.concat(fits, tail)).otherwise(fits)
     others = [c for c in spans.columns if c not in ("start", "end")]

@@ -272,7 +272,7 @@ def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features of each window, each record at its own rate; windows of six hours, many of them empty."""
     s = samples(spark, sf_dir)
-    w = W.hopping(spans(s), DAY / 4, DAY / 4, 40)
+    w = W.hopping(spans(s), DAY / 4, DAY / 4)
     return rounded(ST.window_feature_rows(s, w, T.record_meta(s), DAY / 4), 5)
 
 

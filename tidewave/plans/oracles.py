@@ -18,15 +18,17 @@ def r(x: str, name: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0e0 AS {name}"
 
 
-def windows(length: float, stride: float, most: int, extra: str = "") -> str:
-    """Windows of spans(record_id, w0, w9)."""
+def windows(length: float, stride: float, most: int | None, extra: str = "") -> str:
+    """Windows of spans(record_id, w0, w9), the first ``most`` of each or all."""
     more = f", {extra}" if extra else ""
+    number = f"CAST(floor((w9 - w0 - {length} + 1e-6) / {stride}) AS BIGINT) + 1"
+    number, free = (number, "") if most is None else (f"least({most}, {number})", f" AND n < {most}")
     return f"""windows AS (
   SELECT record_id{more}, CAST(k AS INTEGER) AS window_id,
     CASE WHEN w9 - w0 <= {length} THEN w0 WHEN k = n THEN greatest(w0, w9 - {length}) ELSE w0 + k * {stride} END AS w_start,
     CASE WHEN w9 - w0 <= {length} THEN w9 WHEN k = n THEN w9 ELSE w0 + k * {stride} + {length} END AS w_end
-  FROM (SELECT *, unnest(generate_series(0, CASE WHEN w9 - w0 <= {length} THEN 0 WHEN w0 + (n - 1) * {stride} + {length} < w9 - 0.25 * {length} AND n < {most} THEN n ELSE n - 1 END)) AS k
-    FROM (SELECT *, least({most}, CAST(floor((w9 - w0 - {length} + 1e-6) / {stride}) AS BIGINT) + 1) AS n FROM spans WHERE w9 > w0)))"""
+  FROM (SELECT *, unnest(generate_series(0, CASE WHEN w9 - w0 <= {length} THEN 0 WHEN w0 + (n - 1) * {stride} + {length} < w9 - 0.25 * {length}{free} THEN n ELSE n - 1 END)) AS k
+    FROM (SELECT *, {number} AS n FROM spans WHERE w9 > w0)))"""
 
 
 BASE = f"WITH {SAMPLES}, {SPANS}, {windows(2 * DAY, DAY, 240)}"
@@ -111,7 +113,7 @@ q AS (SELECT *, sum(power) OVER (PARTITION BY vec_id) AS total, count(*) OVER (P
 SELECT vec_id, {r("-sum(power / total * ln(power / total + 1e-12)) / ln(any_value(nk))", "spectral_entropy", 5)}, {r("arg_max(hz, power)", "dominant_hz", 5)},
   {", ".join(r(f"sum(CASE WHEN hz >= {b * 0.5} AND hz < {(b + 1) * 0.5} THEN power ELSE 0 END) / (any_value(total) + 1e-12)", f"band_{b}", 5) for b in range(8))} FROM q GROUP BY vec_id"""
 
-FEATURE_ROWS = f"""WITH {SAMPLES}, {SPANS}, {windows(DAY / 4, DAY / 4, 40)},
+FEATURE_ROWS = f"""WITH {SAMPLES}, {SPANS}, {windows(DAY / 4, DAY / 4, None)},
 dt AS (SELECT record_id, t - lag(t) OVER (PARTITION BY record_id ORDER BY seq) AS d FROM samples), clock AS (SELECT record_id, coalesce(1 / median(d) FILTER (d > 0), 1) AS hz FROM dt GROUP BY record_id),
 filled AS (SELECT * FROM samples), {robust('filled', 'record_id, channel', 1e-8, True, None)},
 moves AS (SELECT record_id, seq, coalesce(z - lag(z) OVER (PARTITION BY record_id, channel ORDER BY seq), 0) AS d FROM scaled),
