@@ -51,6 +51,26 @@ def test_channel_means_at_the_bound(spark, tmp_path):
     assert {r.channel: r.value for r in catalog.channel_lookup(spark, str(tmp_path)).collect()} == {"view": 0.0, "click": 50.0}
 
 
+def test_channel_means_that_end_in_half_a_unit(spark, tmp_path):
+    """The mean of 32 numbers of cents may lie between two of six digits: SQL rounds it by its sum in the rows' order."""
+    import duckdb
+
+    rng, rows, record = np.random.default_rng(5), [], 0
+    while record < 20:
+        cents = rng.integers(5000, 9000, 32)
+        total = functools.reduce(operator.add, (float(c) / 100 for c in cents)) / 32
+        if cents.sum() % 2 and total < cents.sum() / 3200:  # exactly half a unit, the sum is under it
+            rows += [(32 * record + i, record, "view", float(c) / 100) for i, c in enumerate(cents)]
+            record += 1
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.col("event_id")).cast("timestamp_ntz"))
+    events.coalesce(1).sortWithinPartitions("event_id").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {(r, c): v for r, c, v in con.execute(catalog.oracle_sql()["channel_lookup"]).fetchall()}
+    assert len(want) == 20
+    assert {(r.record_id, r.channel): r.value for r in catalog.channel_lookup(spark, str(tmp_path)).collect()} == want
+
+
 def test_missing_is_null(spark):
     df = spark.createDataFrame([(1.0,), (NAN,), (INF,), (-INF,), (None,)], "v double")
     assert [r.x for r in df.select(S.finite(F.col("v")).alias("x")).collect()] == [1.0, None, None, None, None]

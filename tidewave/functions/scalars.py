@@ -23,6 +23,14 @@ def fixed(value: Column, digits: int = 6) -> Column:
     return F.round(value, digits) + F.lit(0.0)
 
 
+def scaled_fixed(value: Column, digits: int = 6) -> Column:
+    """The same by way of the value times a power of ten, rounded to a whole number, as DuckDB does it: near half a unit
+    that product decides."""
+    unit = F.lit(10.0**digits)
+    near = F.round(value * unit) / unit
+    return F.when(F.abs(near) == F.lit(INFINITY), value).otherwise(near) + F.lit(0.0)
+
+
 def exact_mean(value: Column) -> Column:
     """The mean of a group's doubles as they are written, rounded once: the same in any order of the rows. Where a value
     has no exact decimal with 18 places, or the sum none with 38 digits, the plain average."""

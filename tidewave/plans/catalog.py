@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -60,8 +60,8 @@ def windows(s: DataFrame) -> DataFrame:
     return W.hopping(spans(s), LENGTH, STRIDE, MOST)
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[S.fixed(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, fixed: Callable = S.fixed) -> DataFrame:
+    return df.select(*[fixed(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # names, numbers, files
@@ -379,9 +379,13 @@ def channel_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def channel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over 40 of the chosen channels. A mean is judged exactly; its value is of a sum in the order of the rows, as in
+    SQL, so one that ends in half a unit is rounded as there."""
     s = samples(spark, sf_dir)
-    means = s.groupBy("record_id", "channel").agg(S.exact_mean(F.col("value")).alias("value")).where("value > 40")
-    return rounded(SEL.looked_up(means, SEL.chosen_channels(s, s.select("record_id").distinct().count(), 4), ["record_id"]).select("record_id", "channel", "value"))
+    whole = Window.partitionBy("record_id", "channel").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mean = F.try_divide(F.first("total"), F.count("value"))
+    means = s.withColumn("total", F.sum("value").over(whole)).groupBy("record_id", "channel").agg(S.exact_mean(F.col("value")).alias("exact"), mean.alias("value")).where("exact > 40").drop("exact")
+    return rounded(SEL.looked_up(means, SEL.chosen_channels(s, s.select("record_id").distinct().count(), 4), ["record_id"]).select("record_id", "channel", "value"), fixed=S.scaled_fixed)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
